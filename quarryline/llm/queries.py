@@ -5,10 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarryline.llm import splits
+from quarryline.llm import overlap, splits
 from quarryline.session import table
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return overlap.pairs(table(spark, sf_dir, "merged_dataset"))
+
+
+def p1_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return overlap.report(table(spark, sf_dir, "merged_dataset"))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splits.found(table(spark, sf_dir, "merged_dataset"), table(spark, sf_dir, "repositories"))
 
@@ -23,5 +31,5 @@ def p5_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.crossJoin(total).select("split", "records", "components", (F.col("records") / F.col("total")).alias("share"))
 
 
-QUERIES = {"p5_found": p5_found, "p5_assign": p5_assign, "p5_shares": p5_shares}
+QUERIES = {"p1_found": p1_found, "p1_report": p1_report, "p5_found": p5_found, "p5_assign": p5_assign, "p5_shares": p5_shares}
 SQL: dict[str, str] = {}
