@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarryline.llm import overlap, splits
+from quarryline.llm import overlap, sources, splits
 from quarryline.session import table
 
 
@@ -17,6 +17,26 @@ def p1_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overlap.report(table(spark, sf_dir, "merged_dataset"))
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sources.invalid(table(spark, sf_dir, "source_files")).select("file_id")
+
+
+def p2_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sources.checked(table(spark, sf_dir, "source_files"))
+
+
+def p2_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sources.rates(table(spark, sf_dir, "source_files"), table(spark, sf_dir, "parse_errors"))
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sources.documented(table(spark, sf_dir, "source_files")).select("file_id", "name", "start_line")
+
+
+def p6_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sources.pairs(table(spark, sf_dir, "source_files"))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splits.found(table(spark, sf_dir, "merged_dataset"), table(spark, sf_dir, "repositories"))
 
@@ -31,5 +51,8 @@ def p5_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.crossJoin(total).select("split", "records", "components", (F.col("records") / F.col("total")).alias("share"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_report": p1_report, "p5_found": p5_found, "p5_assign": p5_assign, "p5_shares": p5_shares}
+QUERIES = {
+    "p1_found": p1_found, "p1_report": p1_report, "p2_found": p2_found, "p2_files": p2_files, "p2_rates": p2_rates,
+    "p6_found": p6_found, "p6_pairs": p6_pairs, "p5_found": p5_found, "p5_assign": p5_assign, "p5_shares": p5_shares,
+}
 SQL: dict[str, str] = {}
