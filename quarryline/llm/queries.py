@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarryline.llm import overlap, sources, splits
+from quarryline.llm import overlap, sources, splits, subjects
 from quarryline.session import table
 
 
@@ -51,8 +51,22 @@ def p5_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.crossJoin(total).select("split", "records", "components", (F.col("records") / F.col("total")).alias("share"))
 
 
+def _subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    model = subjects.train(documents, table(spark, sf_dir, "subject_labels"), table(spark, sf_dir, "subjects"))
+    return subjects.assigned(documents, model)
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _subjects(spark, sf_dir).distinct()
+
+
+def p9_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _subjects(spark, sf_dir).groupBy("subject").agg(F.countDistinct("doc_id").alias("documents"))
+
+
 QUERIES = {
     "p1_found": p1_found, "p1_report": p1_report, "p2_found": p2_found, "p2_files": p2_files, "p2_rates": p2_rates,
-    "p6_found": p6_found, "p6_pairs": p6_pairs, "p5_found": p5_found, "p5_assign": p5_assign, "p5_shares": p5_shares,
+    "p6_found": p6_found, "p6_pairs": p6_pairs, "p5_found": p5_found, "p5_assign": p5_assign, "p5_shares": p5_shares, "p9_found": p9_found, "p9_composition": p9_composition,
 }
 SQL: dict[str, str] = {}
