@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarryline.llm import overlap, sources, splits, subjects
+from quarryline.llm import mixing, overlap, packing, sources, splits, subjects
 from quarryline.session import table
 
 
@@ -57,6 +57,22 @@ def _subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return subjects.assigned(documents, model)
 
 
+def p7_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(table(spark, sf_dir, "documents"), table(spark, sf_dir, "containers"))
+
+
+def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.fill(p7_pack(spark, sf_dir), table(spark, sf_dir, "containers"))
+
+
+def p8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed(table(spark, sf_dir, "documents"), table(spark, sf_dir, "source_targets"))
+
+
+def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.shares(table(spark, sf_dir, "documents"), table(spark, sf_dir, "source_targets"))
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _subjects(spark, sf_dir).distinct()
 
@@ -67,6 +83,7 @@ def p9_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "p1_found": p1_found, "p1_report": p1_report, "p2_found": p2_found, "p2_files": p2_files, "p2_rates": p2_rates,
-    "p6_found": p6_found, "p6_pairs": p6_pairs, "p5_found": p5_found, "p5_assign": p5_assign, "p5_shares": p5_shares, "p9_found": p9_found, "p9_composition": p9_composition,
+    "p6_found": p6_found, "p6_pairs": p6_pairs, "p5_found": p5_found, "p5_assign": p5_assign, "p5_shares": p5_shares, "p7_pack": p7_pack, "p7_fill": p7_fill,
+    "p8_mix": p8_mix, "p8_shares": p8_shares, "p9_found": p9_found, "p9_composition": p9_composition,
 }
 SQL: dict[str, str] = {}

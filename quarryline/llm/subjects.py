@@ -90,7 +90,7 @@ def judged(labels: DataFrame, subjects: list[str]) -> DataFrame:
     return kept.groupBy("doc_id").agg(F.collect_set("subject").alias("subjects"))
 
 
-def _fit(rows: np.ndarray, grams: np.ndarray, y: np.ndarray, ridge: float, steps: int = 50, rate: float = 0.6) -> tuple[np.ndarray, np.ndarray, float]:
+def _fit(rows: np.ndarray, grams: np.ndarray, y: np.ndarray, share: np.ndarray, ridge: float, steps: int = 50, rate: float = 0.6) -> tuple[np.ndarray, np.ndarray, float]:
     """L2-regularised logistic regression by AdaGrad over the whole sample: (n-grams, weights, bias)."""
     n = len(y)
     if not y.any():
@@ -103,7 +103,7 @@ def _fit(rows: np.ndarray, grams: np.ndarray, y: np.ndarray, ridge: float, steps
     sums, bias_sum = np.full(len(used), 1e-12), 1e-12
     for _ in range(steps):
         z = np.bincount(rows, weights[at], minlength=n) + bias
-        g = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - y
+        g = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) * share
         grad = (np.bincount(at, g[rows], minlength=len(used)) + ridge * weights) / n
         sums += grad**2
         weights -= rate * grad / np.sqrt(sums)
@@ -115,6 +115,7 @@ def _fit(rows: np.ndarray, grams: np.ndarray, y: np.ndarray, ridge: float, steps
 
 # Rounds of training: where the labels come from, and how strongly weights are held back.
 ROUNDS = (("human", 1.5), ("document", 1.0), ("sentence", 0.5), ("sentence", 0.2))
+UNLABELLED = 0.05
 _CHUNK = "docs array<long>, human array<int>, lengths array<int>, grams array<int>"
 
 
@@ -134,18 +135,19 @@ def _scored(chunk, table: np.ndarray, biases: np.ndarray) -> np.ndarray:
 
 
 def _weak_labels(chunk, level: str, k: int, table: np.ndarray, biases: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(whether a sentence takes part, whether it counts as positive for subject ``k``)."""
+    """(how much a sentence weighs, whether it counts as positive for subject ``k``). Sentences of documents without human
+    labels weigh little in the first round, as negatives: what stands everywhere then speaks for no subject."""
     docs, human, _, _ = _unpacked(chunk)
     known, given = human >= 0, (human >> k) & 1 == 1
     if level == "human":
-        return known, known & given
+        return np.where(known, 1.0, UNLABELLED), known & given
     scores = _scored(chunk, table, biases)
     if level == "sentence":  # the subject it deals with most
-        return np.ones(len(docs), bool), (scores[:, k] > 0) & (scores[:, k] >= scores.max(axis=1))
+        return np.ones(len(docs)), (scores[:, k] > 0) & (scores[:, k] >= scores.max(axis=1))
     hit = scores[:, k] > 0
     ids, at = np.unique(docs, return_inverse=True)
     whole = (np.bincount(at, hit, minlength=len(ids)) >= LEAST_SENTENCES)[at]
-    return np.ones(len(docs), bool), np.where(known, given, whole)
+    return np.ones(len(docs)), np.where(known, given, whole)
 
 
 def _train(chunks: DataFrame, level: str, ridge: float, subjects: list[str], table: np.ndarray, biases: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -154,14 +156,13 @@ def _train(chunks: DataFrame, level: str, ridge: float, subjects: list[str], tab
     before = chunks.sparkSession.sparkContext.broadcast((table, biases))
 
     def fit(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        k, all_rows, all_grams, ys, n = subjects.index(key[0]), [], [], [], 0
+        k, parts, n = subjects.index(key[0]), [], 0
         for chunk in pdf.itertuples():
-            part, y = _weak_labels(chunk, level, k, *before.value)
             _, _, rows, grams = _unpacked(chunk)
-            number = np.cumsum(part) - 1 + n
-            all_rows.append(number[rows][part[rows]]), all_grams.append(grams[part[rows]]), ys.append(y[part])
-            n += int(part.sum())
-        used, weights, bias = _fit(np.concatenate(all_rows), np.concatenate(all_grams), np.concatenate(ys).astype(float), ridge)
+            parts.append((rows + n, grams, *_weak_labels(chunk, level, k, *before.value)))
+            n += len(chunk.lengths)
+        rows, grams, share, y = map(np.concatenate, zip(*parts))
+        used, weights, bias = _fit(rows, grams, y.astype(float), share, ridge)
         keep = np.abs(weights) > 0.05
         return pd.DataFrame({"subject": [key[0]], "bias": [bias], "at": [used[keep].astype(np.int32)], "weight": [weights[keep].astype(np.float32)]})
 
