@@ -6,6 +6,7 @@ import math
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -120,12 +121,12 @@ def correlation_p(rho: float, n: int) -> float:
 
 def bootstrap_interval(differences: DataFrame, group: str, value: str, rounds: int = 2000, level: float = 0.95, seed: int = 7) -> DataFrame:
     """``group, mean, low, high``: percentile bootstrap of the mean, by Poisson weights that each row draws per round from a
-    seeded hash; rounds are summed where the rows are, so no group is gathered in one task."""
+    generator seeded by its partition; rounds are summed where the rows are, so no group is gathered in one task."""
     slots = 64
 
     def draw(batches):
-        for batch in batches:
-            rng = np.random.default_rng([seed, len(batch), int(pd.util.hash_pandas_object(batch, index=False).sum() % 2**32)])
+        for n, batch in enumerate(batches):
+            rng = np.random.default_rng([seed, TaskContext.get().partitionId(), n])
             for key, part in batch.groupby(group):
                 w = rng.poisson(1.0, (rounds, len(part)))
                 yield pd.DataFrame({group: key, "round": np.arange(rounds), "n": w.sum(axis=1).astype(float), "s": w @ part[value].to_numpy()})
