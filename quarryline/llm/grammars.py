@@ -348,10 +348,10 @@ class Parser:
             self.need("{")
             while not self.take("}"):
                 if self.take("default"):
-                    self.need(":", "->")
+                    self.after_case()
                 elif self.take("case"):
-                    self.expression()
-                    self.need(":", "->")
+                    self.case_label()
+                    self.after_case()
                 else:
                     self.statement()
         elif w == "try" and self.lang != "c":
@@ -381,6 +381,12 @@ class Parser:
             return False
         return True
 
+    def case_label(self) -> None:
+        self.expression()
+
+    def after_case(self) -> None:
+        self.need(":")
+
     def catch_parameter(self) -> None:
         self.name()
 
@@ -1276,6 +1282,35 @@ class Java(CFamily):
         elif not self.attempt(self.local_statement):
             self.expression_statement()
 
+    def pattern(self) -> None:
+        self.take("final")
+        self.type_()
+        if self.take("("):
+            self.listed(self.pattern, ")")
+            if self.is_name() and not self.is_("when"):
+                self.at += 1
+        else:
+            self.name()
+
+    def case_label(self) -> None:
+        while True:
+            if not self.take("default") and not self.attempt(self.pattern):
+                Parser.assignment(self)  # a name before an arrow is no lambda here
+            if not self.take(","):
+                break
+        if self.take("when"):
+            Parser.assignment(self)
+
+    def after_case(self) -> None:
+        if self.take(":"):
+            return
+        self.need("->")
+        if self.is_("{", "throw"):
+            self.statement()
+        else:
+            self.expression()
+            self.end()
+
     def local_type(self) -> None:
         self.modifiers()
         self.type_declaration()

@@ -70,7 +70,7 @@ def invalid(files: DataFrame) -> DataFrame:
 
 def _plain_path(path: Column, repository: Column) -> Column:
     """A logged path as the repository has it: separators, leading dots and the place of the checkout don't count."""
-    slashed = F.regexp_replace(path, r"\\\\", "/")
+    slashed = F.regexp_replace(path, r"\\", "/")
     home = F.concat(F.lit("/"), repository, F.lit("/"))
     at = F.instr(slashed, home)
     inside = F.when(slashed.startswith("/") & (at > 0), F.substr(slashed, at + F.length(home))).otherwise(slashed)
@@ -249,8 +249,8 @@ def definitions(rows: DataFrame) -> DataFrame:
     )
     # words between a comment and a name that can't belong to the name's own header
     alien = script & (F.col("kind") == "id") & ~F.col("text").isin(*_HEADER_WORDS)
-    deep = deep.withColumn("aliens", F.sum(alien.cast("int")).over(by_file.rowsBetween(Window.unboundedPreceding, -1)))
-    deep = deep.withColumn("marks", F.sum((is_op & (F.col("text") == "@")).cast("int")).over(by_file.rowsBetween(Window.unboundedPreceding, -1)))
+    deep = deep.withColumn("aliens", F.coalesce(F.sum(alien.cast("int")).over(by_file.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    deep = deep.withColumn("marks", F.coalesce(F.sum((is_op & (F.col("text") == "@")).cast("int")).over(by_file.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     found = deep.withColumn("is_function", F.coalesce(is_function, F.lit(False)))
 
     python_doc = F.when(

@@ -39,19 +39,22 @@ def roots(repositories: DataFrame) -> DataFrame:
     at = known.select("repository_id", F.coalesce("fork_of", "repository_id").alias("up"))
     ids = known.select(F.col("repository_id").alias("up"))
     at = cut(at.join(ids, "up", "left_semi").unionByName(at.join(ids, "up", "left_anti").withColumn("up", F.col("repository_id"))))
-    for _ in range(32):
+    ends = at.where("up = repository_id").select(F.col("up").alias("end"))
+    at = at.withColumn("least", F.least("repository_id", "up"))
+    for _ in range(at.count().bit_length()):
         further = at.alias("a").join(at.alias("b"), F.col("a.up") == F.col("b.repository_id"))
-        moved = cut(further.select(F.col("a.repository_id"), F.col("b.up"), (F.col("a.up") != F.col("b.up")).alias("moved")))
+        moved = cut(further.select(F.col("a.repository_id"), F.col("b.up"), F.least("a.least", "b.least").alias("least"), (F.col("a.up") != F.col("b.up")).alias("moved")))
         at = moved.drop("moved")
         if moved.where("moved").isEmpty():
-            return at.withColumnRenamed("up", "root_repository_id")
-    cyclic = at.groupBy("up").agg(F.min("repository_id").alias("root_repository_id"))
-    return at.join(cyclic, "up").select("repository_id", "root_repository_id")
+            break
+    known_end = at.join(ends, F.col("up") == F.col("end"), "left").select("repository_id", "up", "end")
+    circle = at.select(F.col("repository_id").alias("up"), F.col("least").alias("_least"))
+    return known_end.join(circle, "up", "left").select("repository_id", F.coalesce("end", "_least").alias("root_repository_id"))
 
 
 def led(records: DataFrame, repositories: DataFrame) -> DataFrame:
     """Every record once, with ``root_repository_id`` (null where it leads nowhere). The name of a repository beats a
-    former name of another; a former name that two repositories had goes to the least of them. Records number many per
+    former name of another; a former name that two repositories had goes to the least of them. Other columns are left out. Records number many per
     repository, the lookup is as small as ``repositories``."""
     ends = roots(repositories)
     own = repositories.select("repository_id", name_key(F.col("repository_id")).alias("key"), F.lit(0).alias("rank"))
@@ -60,7 +63,8 @@ def led(records: DataFrame, repositories: DataFrame) -> DataFrame:
     names = names.select("key", F.col("m.repository_id").alias("repository_id")).join(ends, "repository_id").select("key", F.col("root_repository_id").alias("_by_name"))
     prefixes = repositories.select("repository_id", F.lower("query_prefix").alias("prefix")).where("prefix is not null").groupBy("prefix").agg(F.min("repository_id").alias("repository_id"))
     prefixes = prefixes.join(ends, "repository_id").select("prefix", F.col("root_repository_id").alias("_by_prefix"))
-    once = first_delivery(records, "record_id", ["ingested_at"])
+    named = [c for c in ("record_id", "repository_id", "query_id", "category", "difficulty", "ingested_at") if c in records.columns]
+    once = first_delivery(records.select(*named), "record_id", ["ingested_at"])
     keyed = once.withColumn("key", name_key(F.col("repository_id"))).withColumn("prefix", F.when(F.col("repository_id").isNull(), query_prefix(F.col("query_id"))))
     found = keyed.join(names, "key", "left").join(prefixes, "prefix", "left")
     return found.withColumn("root_repository_id", F.coalesce("_by_name", "_by_prefix")).drop("key", "prefix", "_by_name", "_by_prefix")
