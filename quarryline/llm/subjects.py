@@ -125,23 +125,23 @@ def _unpacked(chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     return np.asarray(chunk.docs), np.asarray(chunk.human, int), np.repeat(np.arange(len(lengths)), lengths), np.asarray(chunk.grams, int)
 
 
-def _scored(chunk, table: np.ndarray, biases: np.ndarray) -> np.ndarray:
+def _scored(chunk, weights: Weights) -> np.ndarray:
     """A row of scores per sentence; every sentence has an n-gram, so its n-grams are a stretch of the array."""
     lengths = np.asarray(chunk.lengths, int)
     if not len(lengths):
-        return np.zeros((0, len(biases)))
+        return np.zeros((0, len(weights.biases)))
     starts = np.cumsum(lengths) - lengths
-    return np.add.reduceat(table[np.asarray(chunk.grams, int)], starts, axis=0) + biases
+    return np.add.reduceat(weights.table[np.asarray(chunk.grams, int)], starts, axis=0) + weights.biases
 
 
-def _weak_labels(chunk, level: str, k: int, table: np.ndarray, biases: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _weak_labels(chunk, level: str, k: int, weights: Weights) -> tuple[np.ndarray, np.ndarray]:
     """(how much a sentence weighs, whether it counts as positive for subject ``k``). Sentences of documents without human
     labels weigh little in the first round, as negatives: what stands everywhere then speaks for no subject."""
     docs, human, _, _ = _unpacked(chunk)
     known, given = human >= 0, (human >> k) & 1 == 1
     if level == "human":
         return np.where(known, 1.0, UNLABELLED), known & given
-    scores = _scored(chunk, table, biases)
+    scores = _scored(chunk, weights)
     if level == "sentence":  # the subject it deals with most
         return np.ones(len(docs)), (scores[:, k] > 0) & (scores[:, k] >= scores.max(axis=1))
     hit = scores[:, k] > 0
@@ -150,16 +150,16 @@ def _weak_labels(chunk, level: str, k: int, table: np.ndarray, biases: np.ndarra
     return np.ones(len(docs)), np.where(known, given, whole)
 
 
-def _train(chunks: DataFrame, level: str, ridge: float, subjects: list[str], table: np.ndarray, biases: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _train(chunks: DataFrame, level: str, ridge: float, subjects: list[str], weights: Weights) -> Weights:
     """One classifier a task, each over the bounded sample."""
     each = chunks.withColumn("subject", F.explode(F.array(*map(F.lit, subjects))))
-    before = chunks.sparkSession.sparkContext.broadcast((table, biases))
+    before = chunks.sparkSession.sparkContext.broadcast(weights)
 
     def fit(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         k, parts, n = subjects.index(key[0]), [], 0
         for chunk in pdf.itertuples():
             _, _, rows, grams = _unpacked(chunk)
-            parts.append((rows + n, grams, *_weak_labels(chunk, level, k, *before.value)))
+            parts.append((rows + n, grams, *_weak_labels(chunk, level, k, before.value)))
             n += len(chunk.lengths)
         rows, grams, share, y = map(np.concatenate, zip(*parts))
         used, weights, bias = _fit(rows, grams, y.astype(float), share, ridge)
@@ -172,19 +172,48 @@ def _train(chunks: DataFrame, level: str, ridge: float, subjects: list[str], tab
         k = subjects.index(r["subject"])
         table[np.asarray(r["at"], int), k] = r["weight"]
         biases[k] = r["bias"]
-    return table, biases
+    before.destroy()
+    used = np.flatnonzero(table.any(axis=1))
+    return Weights(used, table[used], biases)
+
+
+class Weights:
+    """Weights and biases by subject; it travels with the rows that aren't zero and unfolds where it is used."""
+
+    def __init__(self, at: np.ndarray, values: np.ndarray, biases: np.ndarray):
+        self.at, self.values, self.biases = at.astype(np.int32), values.astype(np.float32), biases
+        self._table: np.ndarray | None = None
+
+    @classmethod
+    def none(cls, n: int) -> Weights:
+        return cls(np.zeros(0, np.int32), np.zeros((0, n), np.float32), np.full(n, -20.0))
+
+    @property
+    def table(self) -> np.ndarray:
+        if self._table is None:
+            self._table = np.zeros((WIDTH, len(self.biases)), np.float32)
+            self._table[self.at] = self.values
+        return self._table
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"_table": None}
 
 
 class Model:
     """Weights by hashed n-gram, thresholds by subject and the spelling of the sample's words."""
 
-    def __init__(self, subjects: list[str], table: np.ndarray, biases: np.ndarray, frequent: dict[str, int]):
-        self.subjects, self.table, self.biases, self.frequent = subjects, table, biases, frequent
+    def __init__(self, subjects: list[str], weights: Weights, frequent: dict[str, int]):
+        self.subjects, self.weights, self.frequent = subjects, weights, frequent
         self.thresholds = np.zeros(len(subjects))
         self.speller: Speller | None = None
+        self.known: dict = {}
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"speller": None}
+        return self.__dict__ | {"speller": None, "known": {}}
+
+    @property
+    def table(self) -> np.ndarray:
+        return self.weights.table
 
     def mended(self, words: list[str]) -> list[str]:
         if self.speller is None:
@@ -193,13 +222,13 @@ class Model:
 
     def scores(self, text: str | None) -> np.ndarray:
         """A row of scores per sentence. Sums of known n-grams are kept, as most of a corpus repeats a small vocabulary."""
-        known = self.__dict__.setdefault("_known", {})
+        known = self.known
         if len(known) > 400_000:
             known.clear()
         out = []
         for words in sentences(text):
             words = self.mended(words)
-            total = self.biases
+            total = self.weights.biases
             for gram in {*words, *zip(words, words[1:])}:
                 v = known.get(gram, known)
                 if v is known:  # not seen before
@@ -247,7 +276,7 @@ def train(documents: DataFrame, labels: DataFrame, subject_table: DataFrame) ->
     counts = said.select(F.explode(F.array_distinct(F.split("s", " "))).alias("w")).groupBy("w").agg(F.count("*").alias("n"))
     total = rows.agg(F.sum(F.size("said"))).first()[0] or 0
     frequent = {r["w"]: r["n"] for r in counts.where(F.col("n") >= max(3, 0.0004 * total)).collect()}  # words of the bounded sample
-    model = Model(others, np.zeros((WIDTH, len(others)), np.float32), np.full(len(others), -20.0), frequent)
+    model = Model(others, Weights.none(len(others)), frequent)
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -261,23 +290,23 @@ def train(documents: DataFrame, labels: DataFrame, subject_table: DataFrame) ->
     chunks = cut(rows.mapInPandas(pack, _CHUNK))
     if rows.where("human >= 0").isEmpty():
         return model
-    table, biases = model.table, model.biases
+    weights = model.weights
     for level, ridge in ROUNDS:
-        table, biases = _train(chunks, level, ridge, others, table, biases)
-    return _calibrated(Model(others, table, biases, frequent), chunks)
+        weights = _train(chunks, level, ridge, others, weights)
+    return _calibrated(Model(others, weights, frequent), chunks)
 
 
 def _calibrated(model: Model, chunks: DataFrame, grid: tuple[float, ...] = (-1.0, -0.5, 0.0, 0.5, 1.0)) -> Model:
     """Each subject's threshold with the best F1 against the human labels of the sample; 0 unless another is clearly better."""
     subjects = model.subjects
-    shared = chunks.sparkSession.sparkContext.broadcast((model.table, model.biases))
+    shared = chunks.sparkSession.sparkContext.broadcast(model.weights)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
             for chunk in batch.itertuples():
                 docs, human, _, _ = _unpacked(chunk)
-                z, ids = _scored(chunk, *shared.value), np.unique(docs[human >= 0], return_inverse=True)
+                z, ids = _scored(chunk, shared.value), np.unique(docs[human >= 0], return_inverse=True)
                 for k, subject in enumerate(subjects):
                     truth = np.bincount(ids[1], (human[human >= 0] >> k) & 1, minlength=len(ids[0])) > 0
                     for t in grid:
