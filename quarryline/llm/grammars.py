@@ -7,6 +7,7 @@ recursive-descent core with a small statement grammar per language. Only syntax
 from __future__ import annotations
 
 import re
+import sys
 import warnings
 from functools import lru_cache
 
@@ -54,6 +55,10 @@ _NUMBER = r"0[xX][0-9a-fA-F_]+[nuUlL]*|0[bBoO][0-7_]+[nlLuU]*|(?:\d[\d_]*\.?[\d_
 _REGEX = re.compile(r"/(?![*/])(?:[^\\/\[\n\r]|\\[^\n\r]|\[(?:[^\]\\\n\r]|\\[^\n\r])*\])+/[a-z]*")
 
 
+DEEPEST = 2000  # nested expressions or types
+FRAMES = 40_000  # room on the interpreter's stack for them
+
+
 class Bad(Exception):
     """The text isn't valid in the language."""
 
@@ -168,6 +173,7 @@ class Parser:
     def __init__(self, text: str):
         self.kinds, self.words, self.fresh = _lex(self.lang, text)
         self.reserved, self.binary, self.at, self.deep = RESERVED[self.lang], BINARY[self.lang], 0, 0
+        self.failed: set[tuple[str, int]] = set()
 
     @property
     def w(self) -> str:
@@ -201,13 +207,17 @@ class Parser:
         return self.words[self.at - 1]
 
     def attempt(self, rule) -> bool:
-        """Runs ``rule``; on failure the cursor goes back."""
-        at = self.at
+        """Runs ``rule``; on failure the cursor goes back. What failed once at a place isn't tried there again, so nested
+        attempts don't multiply."""
+        at, deep, no_in, literal = self.at, self.deep, self.no_in, self.literal
+        if (rule.__name__, at) in self.failed:
+            return False
         try:
             rule()
             return True
         except Bad:
-            self.at = at
+            self.at, self.deep, self.no_in, self.literal = at, deep, no_in, literal
+            self.failed.add((rule.__name__, at))
             return False
 
     def listed(self, rule, close: str, least: int = 0) -> None:
@@ -232,7 +242,7 @@ class Parser:
 
     def assignment(self) -> None:
         self.deep += 1
-        if self.deep > 150:
+        if self.deep > DEEPEST:
             raise Bad
         self.operand()
         while self.is_(*self.binary) and not (self.no_in and self.is_("in")):
@@ -252,7 +262,7 @@ class Parser:
             self.assignment()
         self.deep -= 1
 
-    no_in = False
+    no_in, literal = False, True  # whether an in ends the expression; whether a composite literal may stand here
 
     def after_operand(self) -> None:
         pass
@@ -695,7 +705,7 @@ class Script(Parser):
 
     def type_(self) -> None:
         self.deep += 1
-        if self.deep > 150:
+        if self.deep > DEEPEST:
             raise Bad
         self.take("|") or self.take("&")
         self.type_part()
@@ -1628,7 +1638,6 @@ class C(CFamily):
 class Go(Parser):
     lang = "go"
     prefixes = ("*", "&", "<-", "^")
-    literal = True  # whether a composite literal may stand here
 
     def end(self) -> None:
         if not self.is_(")", "}"):
@@ -1758,7 +1767,7 @@ class Go(Parser):
 
     def type_(self) -> None:
         self.deep += 1
-        if self.deep > 150:
+        if self.deep > DEEPEST:
             raise Bad
         self.take("~")
         if self.take("*"):
@@ -1852,7 +1861,7 @@ class Go(Parser):
 
     def assignment(self) -> None:
         self.deep += 1
-        if self.deep > 150:
+        if self.deep > DEEPEST:
             raise Bad
         self.operand()
         while self.is_(*self.binary):
@@ -2046,6 +2055,8 @@ def valid(language: str, text: str | None) -> bool:
             return False
     if language in ("javascript", "typescript") and text.startswith("#!"):
         text = text.partition("\n")[2]
+    if sys.getrecursionlimit() < FRAMES:
+        sys.setrecursionlimit(FRAMES)
     try:
         _PARSERS[language](text).file()
         return True

@@ -54,7 +54,7 @@ def budgets(supplies: dict[tuple[str, str], int], targets: dict[str, tuple[float
     out: dict[tuple[str, str], float] = {}
     for s, budget in top.items():
         leaves = {leaf: supplies[leaf] ** TEMPER for leaf in limits if leaf[0] == s}
-        out |= poured(budget, leaves, limits)  if leaves else {}
+        out |= poured(budget, leaves, limits)
     return out
 
 

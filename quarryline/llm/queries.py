@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarryline.llm import mixing, overlap, packing, sources, splits, subjects
-from quarryline.session import table
+from quarryline.session import cut, table
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,15 +46,9 @@ def p5_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = p5_assign(spark, sf_dir).groupBy("split").agg(F.count("*").alias("records"), F.countDistinct("component").alias("components"))
-    total = got.agg(F.sum("records").alias("total"))
-    return got.crossJoin(total).select("split", "records", "components", (F.col("records") / F.col("total")).alias("share"))
-
-
-def _subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    documents = table(spark, sf_dir, "documents")
-    model = subjects.train(documents, table(spark, sf_dir, "subject_labels"), table(spark, sf_dir, "subjects"))
-    return subjects.assigned(documents, model)
+    got = cut(p5_assign(spark, sf_dir).groupBy("split").agg(F.count("*").alias("records"), F.countDistinct("component").alias("components")))
+    total = got.agg(F.sum("records")).first()[0] or 1
+    return got.select("split", "records", "components", (F.col("records") / F.lit(total)).alias("share"))
 
 
 def p7_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
