@@ -11,6 +11,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -22,7 +23,7 @@ from quarryline.llm.overlap import Speller
 from quarryline.session import cut, first_delivery
 
 WIDTH = 1 << 18
-SAMPLE_LABELLED, SAMPLE_OTHER = 2500, 2500
+SAMPLE_LABELLED, SAMPLE_OTHER = 2000, 1000
 FALLBACK = "software"
 LEAST_SENTENCES = 2
 
@@ -57,24 +58,81 @@ def _plain(word: str) -> str:
     return _word_memo[word]
 
 
-def sentences(text: str | None) -> Iterator[list[str]]:
-    """The words of each sentence: code identifiers apart, case, accents and a plural's s dropped."""
+def _sentence_words(text: str | None) -> Iterator[list[str]]:
+    """The words of each sentence as they are written."""
     if not text:
         return
-    text = _TAG.sub(" ", _repaired(text))
+    text = _repaired(text)
+    if "<" in text:
+        text = _TAG.sub(" ", text)
     for sentence in _SENTENCE.split(text):
-        if sentence:
-            words = [_plain(w) for w in _WORD.findall(_HUMP.sub(" ", sentence))]
-            if words:
-                yield words
+        words = _WORD.findall(sentence)
+        if words:
+            yield words
+
+
+def sentences(text: str | None) -> Iterator[list[str]]:
+    """The words of each sentence: code identifiers apart, case, accents and a plural's s dropped."""
+    for words in _sentence_words(text):
+        yield [_plain(p) for w in words for p in _HUMP.split(w)]
 
 
 def _index(gram: str) -> int:
     return xxhash.xxh32_intdigest(gram) % WIDTH
 
 
-def _grams(words: list[str]) -> list[int]:
-    return list({_index(g) for g in (*words, *map(" ".join, zip(words, words[1:])))})
+class Vocabulary(dict):
+    """From a word as it is written to the numbers of its parts among the sample's frequent words; rare words are mended to
+    a frequent one or have no number, so they take part in no n-gram."""
+
+    def __init__(self, frequent: dict[str, int]):
+        self.speller, self.words = Speller(frequent), sorted(frequent)
+        self.numbers = {w: i for i, w in enumerate(self.words)}
+
+    def __missing__(self, raw: str) -> tuple[int, ...]:
+        parts = [self.speller.mend(_plain(p)) for p in _HUMP.split(raw)]
+        found = tuple(self.numbers.get(p, -1) for p in parts)
+        if len(self) < 500_000:
+            self[raw] = found
+        return found
+
+
+def _numbered(texts, vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text of each sentence, where it starts among the words, numbers of all words); empty sentences are left out."""
+    owner, lengths, numbers, get = [], [], [], vocabulary.__getitem__
+    for at, text in enumerate(texts):
+        for words in _sentence_words(text):
+            before = len(numbers)
+            numbers.extend(chain.from_iterable(map(get, words)))
+            owner.append(at)
+            lengths.append(len(numbers) - before)
+    lengths_ = np.array(lengths, int)
+    return np.array(owner, int), np.cumsum(lengths_) - lengths_, np.array(numbers, int)
+
+
+def _gram_columns(starts: np.ndarray, numbers: np.ndarray, vocabulary: Vocabulary, memo: dict) -> tuple[np.ndarray, np.ndarray]:
+    """(sentence, hashed column) of every n-gram of one and of two known words."""
+    n = len(vocabulary.words)
+    if not len(numbers) or not n:
+        return np.zeros(0, int), np.zeros(0, int)
+    sentence = np.searchsorted(starts, np.arange(len(numbers)), side="right") - 1
+    if "unigram" not in memo:
+        memo["unigram"] = np.array([_index(w) for w in vocabulary.words])
+    known = numbers >= 0
+    both = known[:-1] & known[1:] & (sentence[:-1] == sentence[1:])
+    keys, where = np.unique(numbers[:-1][both] * n + numbers[1:][both], return_inverse=True)
+    pairs = memo.setdefault("pairs", {})
+    if len(pairs) > 2_000_000:
+        pairs.clear()
+    columns = np.empty(len(keys), int)
+    for i, key in enumerate(keys.tolist()):
+        column = pairs.get(key)
+        if column is None:
+            column = pairs[key] = _index(f"{vocabulary.words[key // n]} {vocabulary.words[key % n]}")
+        columns[i] = column
+    rows = np.concatenate([sentence[known], sentence[:-1][both]])
+    grams = np.concatenate([memo["unigram"][numbers[known]], columns[where] if len(keys) else np.zeros(0, int)])
+    return rows, grams
 
 
 def tidy_subject(column: Column) -> Column:
@@ -90,88 +148,101 @@ def judged(labels: DataFrame, subjects: list[str]) -> DataFrame:
     return kept.groupBy("doc_id").agg(F.collect_set("subject").alias("subjects"))
 
 
-def _fit(rows: np.ndarray, grams: np.ndarray, y: np.ndarray, share: np.ndarray, ridge: float, steps: int = 50, rate: float = 0.6) -> tuple[np.ndarray, np.ndarray, float]:
-    """L2-regularised logistic regression by AdaGrad over the whole sample: (n-grams, weights, bias)."""
-    n = len(y)
-    if not y.any():
-        return np.zeros(0, int), np.zeros(0), -20.0
+def _fit(rows: np.ndarray, grams: np.ndarray, y: np.ndarray, share: np.ndarray, ridge: float, steps: int = 40, rate: float = 0.6) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """L2-regularised logistic regressions by AdaGrad over the whole sample, a column of ``y`` each: (n-grams, weights,
+    biases). N-grams that stand fewer than three times are left out; ``rows`` is sorted."""
+    n, k = y.shape
     used, at = np.unique(grams, return_inverse=True)
-    often = np.bincount(at) >= 3
-    keep = often[at]
+    often = np.bincount(at) >= 3 if len(at) else np.zeros(0, bool)
+    keep = often[at] if len(at) else np.zeros(0, bool)
     used, rows, at = used[often], rows[keep], (np.cumsum(often) - 1)[at[keep]]
-    weights, bias = np.zeros(len(used)), -2.0
-    sums, bias_sum = np.full(len(used), 1e-12), 1e-12
-    for _ in range(steps):
-        z = np.bincount(rows, weights[at], minlength=n) + bias
-        g = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) * share
-        grad = (np.bincount(at, g[rows], minlength=len(used)) + ridge * weights) / n
-        sums += grad**2
-        weights -= rate * grad / np.sqrt(sums)
-        total = g.mean()
-        bias_sum += total**2
-        bias -= rate * total / np.sqrt(bias_sum)
-    return used, weights, float(bias)
+    if not len(at):
+        return used, np.zeros((0, k), np.float32), np.full(k, -20.0)
+    weights, biases = np.zeros((len(used), k)), np.full(k, -20.0)
+    for j in np.flatnonzero(y.any(axis=0)):
+        w, bias, sums, bias_sum = np.zeros(len(used)), -2.0, np.full(len(used), 1e-12), 1e-12
+        own, share_ = y[:, j].astype(float), share[:, 0]
+        for _ in range(steps):
+            z = np.bincount(rows, w[at], minlength=n) + bias
+            g = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - own) * share_
+            grad = (np.bincount(at, g[rows], minlength=len(used)) + ridge * w) / n
+            sums += grad**2
+            w -= rate * grad / np.sqrt(sums)
+            total = g.mean()
+            bias_sum += total**2
+            bias -= rate * total / np.sqrt(bias_sum)
+        weights[:, j], biases[j] = w, bias
+    return used, weights, biases
 
 
 # Rounds of training: where the labels come from, and how strongly weights are held back.
 ROUNDS = (("human", 1.5), ("document", 1.0), ("sentence", 0.5), ("sentence", 0.2))
 UNLABELLED = 0.05
-_CHUNK = "docs array<long>, human array<int>, lengths array<int>, grams array<int>"
+TASKS = 4  # each trains a share of the subjects
+_CHUNK = "docs array<long>, human array<int>, rows array<int>, grams array<int>"
 
 
 def _unpacked(chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of a chunk: document and human labels (bits, -1 for none) of each sentence, sentence of each n-gram, n-grams."""
-    lengths = np.asarray(chunk.lengths, int)
-    return np.asarray(chunk.docs), np.asarray(chunk.human, int), np.repeat(np.arange(len(lengths)), lengths), np.asarray(chunk.grams, int)
+    return np.asarray(chunk.docs), np.asarray(chunk.human, int), np.asarray(chunk.rows, int), np.asarray(chunk.grams, int)
+
+
+def _summed(rows: np.ndarray, grams: np.ndarray, n: int, weights: Weights) -> np.ndarray:
+    """A row of scores per sentence."""
+    out = np.repeat(weights.biases[None, :].astype(np.float32), n, axis=0)
+    used = weights.used[grams]
+    rows, grams = rows[used], grams[used]  # most n-grams weigh nothing
+    for k in range(out.shape[1]):
+        out[:, k] += np.bincount(rows, weights.table[grams, k], minlength=n)
+    return out
 
 
 def _scored(chunk, weights: Weights) -> np.ndarray:
-    """A row of scores per sentence; every sentence has an n-gram, so its n-grams are a stretch of the array."""
-    lengths = np.asarray(chunk.lengths, int)
-    if not len(lengths):
-        return np.zeros((0, len(weights.biases)))
-    starts = np.cumsum(lengths) - lengths
-    return np.add.reduceat(weights.table[np.asarray(chunk.grams, int)], starts, axis=0) + weights.biases
+    docs, _, rows, grams = _unpacked(chunk)
+    return _summed(rows, grams, len(docs), weights)
 
 
-def _weak_labels(chunk, level: str, k: int, weights: Weights) -> tuple[np.ndarray, np.ndarray]:
-    """(how much a sentence weighs, whether it counts as positive for subject ``k``). Sentences of documents without human
-    labels weigh little in the first round, as negatives: what stands everywhere then speaks for no subject."""
+def _weak_labels(chunk, level: str, weights: Weights) -> tuple[np.ndarray, np.ndarray]:
+    """(how much a sentence weighs, for which subjects it counts as positive). Sentences of documents without human labels
+    weigh little in the first round, as negatives: what stands everywhere then speaks for no subject."""
     docs, human, _, _ = _unpacked(chunk)
-    known, given = human >= 0, (human >> k) & 1 == 1
+    known = human >= 0
+    given = ((human[:, None] >> np.arange(len(weights.biases))) & 1 == 1) & known[:, None]
     if level == "human":
-        return np.where(known, 1.0, UNLABELLED), known & given
+        return np.where(known, 1.0, UNLABELLED), given
     scores = _scored(chunk, weights)
+    hit = scores > 0
     if level == "sentence":  # the subject it deals with most
-        return np.ones(len(docs)), (scores[:, k] > 0) & (scores[:, k] >= scores.max(axis=1))
-    hit = scores[:, k] > 0
+        return np.ones(len(docs)), hit & (scores >= scores.max(axis=1, keepdims=True))
     ids, at = np.unique(docs, return_inverse=True)
-    whole = (np.bincount(at, hit, minlength=len(ids)) >= LEAST_SENTENCES)[at]
-    return np.ones(len(docs)), np.where(known, given, whole)
+    count = np.stack([np.bincount(at, h, minlength=len(ids)) for h in hit.T], axis=1)
+    return np.ones(len(docs)), np.where(known[:, None], given, (count >= LEAST_SENTENCES)[at])
 
 
 def _train(chunks: DataFrame, level: str, ridge: float, subjects: list[str], weights: Weights) -> Weights:
-    """One classifier a task, each over the bounded sample."""
-    each = chunks.withColumn("subject", F.explode(F.array(*map(F.lit, subjects))))
+    """One-versus-rest classifiers over the bounded sample; each task fits some of the subjects."""
+    tasks = min(TASKS, len(subjects))
+    each = chunks.withColumn("part", F.explode(F.array(*map(F.lit, range(tasks)))))
     before = chunks.sparkSession.sparkContext.broadcast(weights)
 
     def fit(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        k, parts, n = subjects.index(key[0]), [], 0
+        own = list(range(key[0], len(subjects), tasks))
+        parts, n = [], 0
         for chunk in pdf.itertuples():
-            _, _, rows, grams = _unpacked(chunk)
-            parts.append((rows + n, grams, *_weak_labels(chunk, level, k, before.value)))
-            n += len(chunk.lengths)
+            docs, _, rows, grams = _unpacked(chunk)
+            share, y = _weak_labels(chunk, level, before.value)
+            parts.append((rows + n, grams, share[:, None], y[:, own]))
+            n += len(docs)
         rows, grams, share, y = map(np.concatenate, zip(*parts))
-        used, weights, bias = _fit(rows, grams, y.astype(float), share, ridge)
-        keep = np.abs(weights) > 0.05
-        return pd.DataFrame({"subject": [key[0]], "bias": [bias], "at": [used[keep].astype(np.int32)], "weight": [weights[keep].astype(np.float32)]})
+        used, found, bias = _fit(rows, grams, y, share, ridge)
+        keep = [np.abs(found[:, i]) > 0.05 for i in range(len(own))]
+        return pd.DataFrame({"subject": own, "bias": bias, "at": [used[m].astype(np.int32) for m in keep], "weight": [found[m, i].astype(np.float32) for i, m in enumerate(keep)]})
 
-    made = each.groupBy("subject").applyInPandas(fit, "subject string, bias double, at array<int>, weight array<float>")
+    made = each.groupBy("part").applyInPandas(fit, "subject int, bias double, at array<int>, weight array<float>")
     table, biases = np.zeros((WIDTH, len(subjects)), np.float32), np.full(len(subjects), -20.0)
     for r in made.collect():  # as many rows as subjects, each at most WIDTH numbers
-        k = subjects.index(r["subject"])
-        table[np.asarray(r["at"], int), k] = r["weight"]
-        biases[k] = r["bias"]
+        table[np.asarray(r["at"], int), r["subject"]] = r["weight"]
+        biases[r["subject"]] = r["bias"]
     before.destroy()
     used = np.flatnonzero(table.any(axis=1))
     return Weights(used, table[used], biases)
@@ -183,6 +254,7 @@ class Weights:
     def __init__(self, at: np.ndarray, values: np.ndarray, biases: np.ndarray):
         self.at, self.values, self.biases = at.astype(np.int32), values.astype(np.float32), biases
         self._table: np.ndarray | None = None
+        self._used: np.ndarray | None = None
 
     @classmethod
     def none(cls, n: int) -> Weights:
@@ -195,8 +267,15 @@ class Weights:
             self._table[self.at] = self.values
         return self._table
 
+    @property
+    def used(self) -> np.ndarray:
+        if self._used is None:
+            self._used = np.zeros(WIDTH, bool)
+            self._used[self.at] = True
+        return self._used
+
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"_table": None}
+        return self.__dict__ | {"_table": None, "_used": None}
 
 
 class Model:
@@ -205,47 +284,26 @@ class Model:
     def __init__(self, subjects: list[str], weights: Weights, frequent: dict[str, int]):
         self.subjects, self.weights, self.frequent = subjects, weights, frequent
         self.thresholds = np.zeros(len(subjects))
-        self.speller: Speller | None = None
-        self.known: dict = {}
+        self._vocabulary: Vocabulary | None = None
+        self._memo: dict = {}
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"speller": None, "known": {}}
+        return self.__dict__ | {"_vocabulary": None, "_memo": {}}
 
-    @property
-    def table(self) -> np.ndarray:
-        return self.weights.table
-
-    def mended(self, words: list[str]) -> list[str]:
-        if self.speller is None:
-            self.speller = Speller(self.frequent)
-        return [self.speller.mend(w) for w in words]
-
-    def scores(self, text: str | None) -> np.ndarray:
-        """A row of scores per sentence. Sums of known n-grams are kept, as most of a corpus repeats a small vocabulary."""
-        known = self.known
-        if len(known) > 400_000:
-            known.clear()
-        out = []
-        for words in sentences(text):
-            words = self.mended(words)
-            total = self.weights.biases
-            for gram in {*words, *zip(words, words[1:])}:
-                v = known.get(gram, known)
-                if v is known:  # not seen before
-                    row = self.table[_index(gram if isinstance(gram, str) else " ".join(gram))]
-                    v = known[gram] = row.astype(float) if np.abs(row).max() > 0.05 else None
-                if v is not None:
-                    total = total + v
-            out.append(total)
-        return np.array(out).reshape(-1, len(self.subjects))
-
-    def judge(self, text: str | None) -> list[str]:
-        """The subjects of a text; ``FALLBACK`` for a text of none, nothing for a blank text."""
-        scores = self.scores(text)
-        if not len(scores):
-            return []
-        hits = (scores > self.thresholds).sum(axis=0)
-        return [s for s, n in zip(self.subjects, hits) if n >= LEAST_SENTENCES] or [FALLBACK]
+    def columns(self, texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(text of each sentence, sentence of each n-gram, n-grams)."""
+        if self._vocabulary is None:
+            self._vocabulary = Vocabulary(self.frequent)
+        owner, starts, numbers = _numbered(texts, self._vocabulary)
+        return (owner, *_gram_columns(starts, numbers, self._vocabulary, self._memo))
+
+    def judge(self, texts) -> list[list[str]]:
+        """The subjects of each text; ``FALLBACK`` for a text of none, nothing for a blank text."""
+        owner, rows, grams = self.columns(texts)
+        hit = _summed(rows, grams, len(owner), self.weights) > self.thresholds
+        counts = np.stack([np.bincount(owner, h, minlength=len(texts)) for h in hit.T], axis=1)
+        some = np.bincount(owner, minlength=len(texts)) > 0
+        return [([s for s, n in zip(self.subjects, c) if n >= LEAST_SENTENCES] or [FALLBACK]) if w else [] for c, w in zip(counts, some)]
 
 
 def train(documents: DataFrame, labels: DataFrame, subject_table: DataFrame) -> Model:
@@ -280,12 +338,8 @@ def train(documents: DataFrame, labels: DataFrame, subject_table: DataFrame) ->
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            docs, marks, lengths, grams = [], [], [], []
-            for d, h, lines in zip(batch.doc_id, batch.human, batch.said):
-                for line in lines:
-                    g = _grams(model.mended(line.split(" ")))
-                    docs.append(d), marks.append(h), lengths.append(len(g)), grams.extend(g)
-            yield pd.DataFrame({"docs": [docs], "human": [marks], "lengths": [lengths], "grams": [grams]})
+            owner, found, grams = model.columns(["\n".join(said) for said in batch.said])
+            yield pd.DataFrame({"docs": [batch.doc_id.to_numpy()[owner]], "human": [batch.human.to_numpy()[owner]], "rows": [found], "grams": [grams]})
 
     chunks = cut(rows.mapInPandas(pack, _CHUNK))
     if rows.where("human >= 0").isEmpty():
@@ -332,7 +386,7 @@ def assigned(documents: DataFrame, model: Model) -> DataFrame:
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [(d, s) for d, t in zip(batch.doc_id, batch.text) for s in shared.value.judge(t)]
+            rows = [(d, s) for d, found in zip(batch.doc_id, shared.value.judge(batch.text.tolist())) for s in found]
             yield pd.DataFrame(rows, columns=["doc_id", "subject"])
 
     return documents.select("doc_id", "text").where("doc_id is not null and text is not null").mapInPandas(judge, "doc_id long, subject string")
