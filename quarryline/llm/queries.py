@@ -80,4 +80,20 @@ QUERIES = {
     "p6_found": p6_found, "p6_pairs": p6_pairs, "p5_found": p5_found, "p5_assign": p5_assign, "p5_shares": p5_shares, "p7_pack": p7_pack, "p7_fill": p7_fill,
     "p8_mix": p8_mix, "p8_shares": p8_shares, "p9_found": p9_found, "p9_composition": p9_composition,
 }
-SQL: dict[str, str] = {}
+def _key_sql(name: str) -> str:
+    plain = f"lower(trim({name}))"
+    for pattern in (r"^[a-z+]+://[^/]+/", r"/+$", r"\.git$", r"^.*/"):
+        plain = f"regexp_replace({plain}, '{pattern}', '')"
+    return f"nullif(regexp_replace({plain}, '[-_.\\s]', '', 'g'), '')"
+
+
+SQL = {
+    "p5_found": f"""WITH RECURSIVE up AS (SELECT repository_id AS id, repository_id AS root, fork_of FROM repositories
+ UNION ALL SELECT u.id, p.repository_id, p.fork_of FROM up u JOIN repositories p ON u.fork_of = p.repository_id),
+ ends AS (SELECT id, root FROM up WHERE fork_of IS NULL OR fork_of NOT IN (SELECT repository_id FROM repositories)),
+ n AS (SELECT repository_id AS id, {_key_sql("repository_id")} AS key, 0 AS r FROM repositories UNION ALL SELECT repository_id, {_key_sql("f")}, 1 FROM (SELECT repository_id, unnest(former_names) AS f FROM repositories)),
+ k AS (SELECT key, first(id ORDER BY r, id) AS id FROM n WHERE key IS NOT NULL GROUP BY key), x AS (SELECT lower(query_prefix) AS prefix, min(repository_id) AS id FROM repositories GROUP BY ALL),
+ m AS (SELECT record_id, repository_id, query_id FROM merged_dataset WHERE record_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY record_id ORDER BY ingested_at NULLS FIRST) = 1),
+ j AS (SELECT record_id, repository_id, {_key_sql("repository_id")} AS key, CASE WHEN repository_id IS NULL THEN nullif(regexp_extract(lower(trim(query_id)), '^(.+?)[-_]\\d+(?:-r\\d+)?$', 1), '') END AS prefix FROM m)
+ SELECT record_id, root AS root_repository_id FROM j LEFT JOIN k USING (key) LEFT JOIN x USING (prefix) JOIN ends ON ends.id = coalesce(k.id, x.id) WHERE repository_id IS DISTINCT FROM root""",
+}
