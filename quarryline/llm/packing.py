@@ -2,25 +2,21 @@
 
 A text larger than the capacity is cut into full pieces, each with a container of its own, and a rest; nothing else is cut.
 Very small pieces are tied into bundles of at most an eighth of the capacity. Then, per octave of sizes from the largest
-down, units and open gaps are sorted together by range; each range is swept from large to small and a unit takes the
-smallest gap that holds it, earlier units first. Units that found no gap within their range meet the gaps of wider ranges in
-a second sweep, where those still left over open containers. Gaps are updated and the next octave follows. So there
-are a fixed number of supersteps, each one sort of what is left; ranges hold ``RANGE_ROWS`` rows however large the input.
+down, units and open gaps of all sizes are matched by rank in supersteps: from large to small a unit takes the smallest gap
+that holds it; wide gaps take several a superstep. Only when no unit fits any open gap may the rest open containers, and what
+still waits meets the new gaps first. A superstep is windows over ranks and levels, spread over all tasks at every size;
+how many there are depends on how many units a gap holds, not on how many rows there are.
 """
 
 from __future__ import annotations
 
-import bisect
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarryline.llm.sizes import sized
 from quarryline.session import cut, running_start
 
-RANGE_ROWS = 250_000
+RANGE_ROWS = 50_000
 OCTAVES = 4
 _STATE = "what string, kind string, capacity int, id string, container string, value int"
 
@@ -37,80 +33,125 @@ def pieces(sizes: DataFrame, containers: DataFrame) -> DataFrame:
     return rows.select("kind", "capacity", "doc_id", "piece", held.alias("tokens")).withColumn("whole", F.col("tokens") == F.col("capacity"))
 
 
-def _sweep(opening: bool):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        gaps: list[int] = []  # sorted, with the containers that have them
-        owners: list[str] = []
-        placed: list[tuple] = []
-        kind = None
-
-        def rest(capacity: int) -> list[tuple]:
-            return [("gap", kind, capacity, None, c, g) for g, c in zip(gaps, owners)]
-
-        capacity = 0
-        for batch in batches:
-            for what, k, cap, unit, container, value in batch[["what", "kind", "capacity", "id", "container", "value"]].itertuples(index=False):
-                if k != kind:
-                    placed.extend(rest(capacity))
-                    gaps, owners, kind, capacity = [], [], k, cap
-                if what == "gap":
-                    at = bisect.bisect_left(gaps, value)
-                    gaps.insert(at, value), owners.insert(at, container)
-                    continue
-                at = bisect.bisect_left(gaps, value)
-                if at < len(gaps):
-                    left, container = gaps.pop(at) - value, owners.pop(at)
-                elif opening:
-                    left, container = cap - value, unit
-                else:
-                    placed.append(("unit", k, cap, unit, None, value))
-                    continue
-                placed.append(("placed", k, cap, unit, container, value))
-                if left > 0:
-                    at = bisect.bisect_left(gaps, left)
-                    gaps.insert(at, left), owners.insert(at, container)
-            if len(placed) > 50_000:
-                yield pd.DataFrame(placed, columns=list(batch.columns))
-                placed = []
-        placed.extend(rest(capacity))
-        yield pd.DataFrame(placed, columns=["what", "kind", "capacity", "id", "container", "value"])
-
-    return run
-
-
-def _swept(rows: DataFrame, ranges: int, opening: bool) -> DataFrame:
-    # gaps come before units of the same size; equal sizes are told apart by a hash, so a common size is no hot range
-    keys = [F.col("kind"), F.desc("value"), F.asc("what"), F.xxhash64("id", "container")]
-    return cut(rows.repartitionByRange(max(1, ranges), *keys).sortWithinPartitions(*keys).mapInPandas(_sweep(opening), _STATE))
+def _ranked(rows: DataFrame, keys: list[str], range_rows: int, n: int) -> DataFrame:
+    """Adds ``start``: the rank from 0 among the rows of equal ``keys``. Hash buckets hold about ``range_rows`` rows."""
+    order = [F.xxhash64("id", "container"), F.col("id"), F.col("container"), *([F.col("slot")] if "slot" in rows.columns else [])]
+    buckets = -(-n // range_rows)
+    if buckets <= 1:
+        return rows.withColumn("start", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1)
+    return running_start(rows, keys, F.pmod(order[0], F.lit(buckets)), order, F.lit(1), buckets)
+
+
+def _descending(rows: DataFrame, keys: list[str], range_rows: int, n: int) -> DataFrame:
+    """Adds ``rank``: from 0 among the rows of equal ``keys``, larger values first. The counts of the sizes are gathered
+    first, at most as many as the capacity has tokens."""
+    sizes = rows.groupBy(*keys, "value").agg(F.count("*").alias("_n"))
+    before = Window.partitionBy(*keys).orderBy(F.desc("value")).rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.withColumn("_above", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    return _ranked(rows, [*keys, "value"], range_rows, n).join(sizes, [*keys, "value"]).withColumn("rank", F.col("start") + F.col("_above")).drop("start", "_above")
+
+
+def _matched(rows: DataFrame, range_rows: int, n: int) -> DataFrame:
+    """One superstep over units and open gaps: a gap offers as many slots as it holds of the largest unit of its kind, the
+    last with what is left over; from large to small, a unit takes the smallest slot that holds it and isn't taken.
+
+    That is how brackets match: slots open, units close. A row's level is the count of slots less units of all rows before
+    it, from the counts of the sizes and its rank within its size; at one level slots and units take turns, so a unit's
+    slot is the row right before it. A level has at most one slot and one unit of each size.
+    """
+    units = rows.where("what = 'unit'")
+    most = units.groupBy("kind").agg(F.max("value").alias("most"))
+    gaps = rows.where("what = 'gap'").join(most, "kind", "left")
+    slots = F.greatest(F.floor(F.col("value") / F.col("most")), F.lit(1)).cast("int")
+    gaps = gaps.withColumn("slot", F.explode(F.sequence(F.lit(1), F.coalesce(slots, F.lit(1)))))
+    gaps = gaps.withColumn("value", F.when((F.col("slot") == 1) | F.col("most").isNull(), F.col("value") - F.coalesce((slots - 1) * F.col("most"), F.lit(0))).otherwise(F.col("most")).cast("int"))
+    names = ["what", "kind", "capacity", "id", "container", "value", "slot"]
+    rows = units.withColumn("slot", F.lit(0)).select(*names).unionByName(gaps.select(*names))
+    sizes = rows.groupBy("kind", "what", "value").agg(F.count("*").alias("_n"))
+    before = Window.partitionBy("kind").orderBy(F.desc("value"), "what").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.withColumn("_open", F.coalesce(F.sum(F.when(F.col("what") == "gap", F.col("_n")).otherwise(-F.col("_n"))).over(before), F.lit(0))).drop("_n")
+    level = F.when(F.col("what") == "gap", F.col("_open") + F.col("start")).otherwise(F.col("_open") - 1 - F.col("start"))
+    at = _ranked(rows, ["kind", "what", "value"], range_rows, n).join(sizes, ["kind", "what", "value"]).withColumn("level", level)
+    turn = Window.partitionBy("kind", "level").orderBy(F.desc("value"), "what")
+    taken = F.when(F.lead("what").over(turn) == "unit", F.lead("value").over(turn)).otherwise(0)
+    at = cut(at.withColumn("owner", F.when(F.lag("what").over(turn) == "gap", F.lag("container").over(turn))).withColumn("left", F.col("value") - taken))
+    after = at.where("what = 'unit'").select(F.when(F.col("owner").isNull(), "unit").otherwise("placed").alias("what"), "kind", "capacity", "id", F.col("owner").alias("container"), "value")
+    open_gaps = at.where("what = 'gap'").groupBy("kind", "capacity", "container").agg(F.sum("left").cast("int").alias("value")).where("value > 0")
+    return after.unionByName(open_gaps.select(F.lit("gap").alias("what"), "kind", "capacity", F.lit(None).cast("string").alias("id"), "container", "value"))
+
+
+def _opened(rows: DataFrame, octave: int, full: bool, sparing: bool, range_rows: int, n: int) -> DataFrame:
+    """Units that fit no gap open containers. ``full``: as many units of a size as a container holds share one, and those
+    that don't make a full container wait. Else as many share one as always fit in this octave. If ``sparing`` or not
+    ``full``, the largest units open the least number of containers of their kind that could do, and the others wait."""
+    units = rows.where("what = 'unit'")
+    least = units.groupBy("kind").agg(F.ceil(F.sum("value") / F.max("capacity")).alias("least"))
+    if full:
+        units = units.withColumn("q", F.floor(F.col("capacity") / F.col("value")))
+        counts = units.groupBy("kind", "q").agg(F.floor(F.count("*") / F.col("q")).alias("bins"))
+        before = Window.partitionBy("kind").orderBy("q").rowsBetween(Window.unboundedPreceding, -1)
+        counts = counts.withColumn("earlier", F.coalesce(F.sum("bins").over(before), F.lit(0))).join(least, "kind")
+        ranked = _descending(units, ["kind", "q"], range_rows, n).join(counts, ["kind", "q"]).withColumn("bin", F.floor(F.col("rank") / F.col("q")))
+        ranked = ranked.withColumn("opens", (F.col("bin") < F.col("bins")) & (F.lit(not sparing) | (F.col("bin") + F.col("earlier") < F.col("least"))))
+    else:
+        ranked = _descending(units, ["kind"], range_rows, n).join(least, "kind").withColumn("q", F.lit(2**octave))
+        ranked = ranked.withColumn("bin", F.floor(F.col("rank") / F.col("q"))).withColumn("opens", F.col("bin") < F.col("least"))
+    shared = Window.partitionBy("kind", "q", "bin")
+    held = ranked.where("opens").withColumn("container", F.min("id").over(shared)).withColumn("left", (F.col("capacity") - F.sum("value").over(shared)).cast("int"))
+    first = (F.col("id") == F.col("container")) & (F.col("left") > 0)
+    placed = F.struct(F.lit("placed").alias("what"), "id", "container", "value")
+    gap = F.struct(F.lit("gap").alias("what"), F.lit(None).cast("string").alias("id"), "container", F.col("left").alias("value"))
+    out = held.select("kind", "capacity", F.explode(F.when(first, F.array(placed, gap)).otherwise(F.array(placed))).alias("x")).select("x.what", "kind", "capacity", "x.id", "x.container", "x.value")
+    return out.unionByName(ranked.where("not opens").select(*out.columns)).unionByName(rows.where("what = 'gap'").select(*out.columns))
+
+
+def _standing(state: DataFrame) -> tuple[int, int, bool]:
+    """Rows, units, and whether a unit fits an open gap. One row per kind goes to the driver."""
+    unit, gap = F.col("what") == "unit", F.col("what") == "gap"
+    kinds = state.groupBy("kind").agg(F.count_if(unit | gap).alias("rows"), F.count_if(unit).alias("units"), F.min(F.when(unit, F.col("value"))).alias("least"), F.max(F.when(gap, F.col("value"))).alias("most")).collect()
+    fits = any(r.units and r.most is not None and r.least <= r.most for r in kinds)
+    return sum(r["rows"] for r in kinds), sum(r.units for r in kinds), fits
+
+
+def _union(spark: SparkSession, parts: list[DataFrame]) -> DataFrame:
+    out = spark.createDataFrame([], _STATE)
+    for part in parts:
+        out = out.unionByName(part)
+    return out
 
 
 def fitted(units: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
     """``kind, id, container`` for ``units`` (``kind, capacity, id, value``), each smaller than the capacity."""
     spark = units.sparkSession
-    gaps = spark.createDataFrame([], _STATE)
+    gaps: list[DataFrame] = []
     parts: list[DataFrame] = []
     for octave in range(OCTAVES):
         upper, lower = F.col("capacity") / 2**octave, F.col("capacity") / 2 ** (octave + 1)
+        last = octave == OCTAVES - 1
         now = units.where(F.col("value") <= upper)
-        if octave < OCTAVES - 1:
+        if not last:
             now = now.where(F.col("value") > lower)
-        rows = now.select(F.lit("unit").alias("what"), "kind", "capacity", "id", F.lit(None).cast("string").alias("container"), "value").unionByName(gaps)
-        n = rows.count()
-        if not n:
-            continue
-        ranges = -(-n // range_rows)
-        if ranges > 1:  # first within narrow ranges, then in ranges whose borders lie elsewhere
-            first = _swept(rows, ranges, opening=False)
-            parts.append(first.where("what = 'placed'"))
-            rows = first.where("what <> 'placed'")
-            ranges = -(-rows.count() // range_rows)
-        state = _swept(rows, ranges, opening=True)
-        parts.append(state.where("what = 'placed'"))
-        gaps = state.where("what = 'gap'")
-    out = spark.createDataFrame([], _STATE)
-    for part in parts:
-        out = out.unionByName(part)
-    return out.select("kind", "id", "container")
+        now = now.select(F.lit("unit").alias("what"), "kind", "capacity", "id", F.lit(None).cast("string").alias("container"), "value")
+        # gaps that hold no unit of this octave are left aside until the next
+        open_gaps = _union(spark, gaps)
+        wide = F.lit(True) if last else F.col("value") > lower
+        gaps = [open_gaps.where(~wide)]
+        state = now.unionByName(open_gaps.where(wide))
+        n, left, fits = _standing(state)
+        openings = 0
+        while left:
+            if fits:
+                state = cut(_matched(state, range_rows, n))
+            else:
+                # what the last octave leaves open stays open: at first it opens no more than must be
+                state = cut(_opened(state, octave, openings < 1 + last, last and not openings, range_rows, n))
+                openings += 1
+            parts.append(state.where("what = 'placed'"))
+            gaps.append(state.where("what = 'gap'").where(~wide))
+            state = state.where((F.col("what") == "unit") | ((F.col("what") == "gap") & wide))
+            n, left, fits = _standing(state)
+        gaps.append(state.where("what = 'gap'"))
+    return _union(spark, parts).select("kind", "id", "container")
 
 
 def packed(documents: DataFrame, containers: DataFrame, path: str | None = None) -> DataFrame:

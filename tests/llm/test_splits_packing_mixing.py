@@ -90,6 +90,18 @@ def test_packing_is_whole_and_tight(spark):
     assert packing.packed(df, containers.limit(0)).count() == 0
 
 
+def test_packing_opens_only_where_no_gap_fits(spark):
+    # the small units lie in other ranges of values than the gaps that hold them
+    values = [60] * 100 + [10] * 200 + [9] * 200
+    units = spark.createDataFrame([("k", 100, str(i), v) for i, v in enumerate(values)], "kind string, capacity int, id string, value int")
+    rows = packing.fitted(units, range_rows=20).collect()
+    load = {}
+    for r in rows:
+        load[r.container] = load.get(r.container, 0) + values[int(r.id)]
+    assert len(rows) == 500 and max(load.values()) <= 100 and len(load) == 100
+    assert "bisect" not in vars(packing)  # no best fit in one Python task at any size
+
+
 def test_budgets():
     supplies = {("a", "en"): 1000, ("a", "de"): 10, ("b", "en"): 100, ("z", "en"): 5}
     targets = {"a": (0.5, 1), "b": (0.4, 2), "c": (0.1, 9)}
