@@ -1,4 +1,4 @@
-"""Streams over growing folders of rows: stateless decisions, mergeable statistics, and windows with late rows.
+"""Streams over growing folders of rows: stateless decisions, mergeable statistics, and windows that keep late rows.
 
 Each runs to the end of what is there and stops (``availableNow``), keeps its progress in a checkpoint, and writes by
 batch, so that a batch that is run again replaces its own rows.
@@ -46,10 +46,9 @@ def statistics(stream: DataFrame, group: str, value: str) -> DataFrame:
     return D.merge_statistics(parts.drop("batch"), group)
 
 
-def windowed(stream: DataFrame, time: str, group: str, size: str = "1 day", late: str = "3 days") -> DataFrame:
-    """Rows per window and group. Windows stay open for rows that are up to ``late`` behind; each batch writes the windows
-    that it changed, and the last count of a window stands."""
+def windowed(stream: DataFrame, time: str, group: str, size: str = "1 day") -> DataFrame:
+    """Rows per window and group: each batch writes partial counts, which merge by sum in any order. No watermark closes a
+    window, so a row counts however late its batch comes; rows without a time have no window."""
     stream = stream.withColumn(time, F.col(time).cast("timestamp"))  # tables may hold times without zone
-    counts = stream.withWatermark(time, late).groupBy(F.window(time, size), group).count()
-    written = run(counts, lambda batch: batch.select(F.col("window.start").alias("start"), group, F.col("count").alias("n")), mode="update")
-    return written.groupBy("start", group).agg(F.max_by("n", "batch").alias("n"))
+    counted = lambda batch: batch.groupBy(F.window(time, size), group).agg(F.count("*").alias("n")).select(F.col("window.start").alias("start"), group, "n")
+    return run(stream, counted).groupBy("start", group).agg(F.sum("n").alias("n"))
