@@ -4,6 +4,7 @@ import glob
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
@@ -23,7 +24,9 @@ def con():
 
 def canonical(frame, columns):
     def one(v):
-        if v is None or v != v:
+        if isinstance(v, (list, dict)) or hasattr(v, "tolist"):
+            return str(v.tolist() if hasattr(v, "tolist") else v)
+        if pd.isna(v):
             return "null"
         return f"{v:.9g}" if isinstance(v, float) else str(v)
 
