@@ -1,11 +1,14 @@
 """Filling containers of fixed capacity with documents (p7): bulk-synchronous best fit, largest first.
 
 A text larger than the capacity is cut into full pieces, each with a container of its own, and a rest; nothing else is cut.
-Very small pieces are tied into bundles of at most an eighth of the capacity. Then, per octave of sizes from the largest
-down, units and open gaps of all sizes are matched by rank in supersteps: from large to small a unit takes the smallest gap
-that holds it; wide gaps take several a superstep. Only when no unit fits any open gap may the rest open containers, and what
-still waits meets the new gaps first. A superstep is windows over ranks and levels, spread over all tasks at every size;
-how many there are depends on how many units a gap holds, not on how many rows there are.
+Very small pieces are tied into bundles of at most an eighth of the capacity. Units of one size can stand for each other, and
+so can containers of one history, so the sweeps run over runs: a size with the ranks of its units, a gap with the numbers of
+its containers. Runs number at most as many as the capacity has tokens, times the sweeps, whatever the corpus holds; the rows
+themselves are ranked and joined with the runs' placements once, at the end.
+
+Per octave of sizes from the largest down, a sweep sorts units and open gaps by size; every unit seeks the next larger gap,
+conflicts are settled by rank, and the gaps shrink. Sweeps repeat until no unit fits any open gap; only then do the largest
+open as few containers as could do, and the sweeps go on.
 """
 
 from __future__ import annotations
@@ -16,9 +19,9 @@ from pyspark.sql import functions as F
 from quarryline.llm.sizes import sized
 from quarryline.session import cut, running_start
 
-RANGE_ROWS = 50_000
 OCTAVES = 4
-_STATE = "what string, kind string, capacity int, id string, container string, value int"
+BUCKETS = 256
+_RUNS = "what string, kind string, capacity int, value int, run string, at long, n long, start long"
 
 
 def pieces(sizes: DataFrame, containers: DataFrame) -> DataFrame:
@@ -33,125 +36,114 @@ def pieces(sizes: DataFrame, containers: DataFrame) -> DataFrame:
     return rows.select("kind", "capacity", "doc_id", "piece", held.alias("tokens")).withColumn("whole", F.col("tokens") == F.col("capacity"))
 
 
-def _ranked(rows: DataFrame, keys: list[str], range_rows: int, n: int) -> DataFrame:
-    """Adds ``start``: the rank from 0 among the rows of equal ``keys``. Hash buckets hold about ``range_rows`` rows."""
-    order = [F.xxhash64("id", "container"), F.col("id"), F.col("container"), *([F.col("slot")] if "slot" in rows.columns else [])]
-    buckets = -(-n // range_rows)
-    if buckets <= 1:
-        return rows.withColumn("start", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1)
-    return running_start(rows, keys, F.pmod(order[0], F.lit(buckets)), order, F.lit(1), buckets)
+def _joined(runs: DataFrame) -> DataFrame:
+    """Runs that continue each other become one."""
+    own = Window.partitionBy("what", "kind", "value", "run").orderBy("at", "start")
+    shift = F.col("at") - F.coalesce("start", F.lit(0))
+    follows = (F.lag(F.col("at") + F.col("n")).over(own) == F.col("at")) & (F.lag(shift).over(own) == shift)
+    islands = runs.withColumn("_new", F.when(F.coalesce(follows, F.lit(False)), 0).otherwise(1)).withColumn("_island", F.sum("_new").over(own))
+    return islands.groupBy("what", "kind", "capacity", "value", "run", "_island").agg(F.min("at").alias("at"), F.sum("n").alias("n"), F.min("start").alias("start")).drop("_island").select(*_names())
 
 
-def _descending(rows: DataFrame, keys: list[str], range_rows: int, n: int) -> DataFrame:
-    """Adds ``rank``: from 0 among the rows of equal ``keys``, larger values first. The counts of the sizes are gathered
-    first, at most as many as the capacity has tokens."""
-    sizes = rows.groupBy(*keys, "value").agg(F.count("*").alias("_n"))
-    before = Window.partitionBy(*keys).orderBy(F.desc("value")).rowsBetween(Window.unboundedPreceding, -1)
-    sizes = sizes.withColumn("_above", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-    return _ranked(rows, [*keys, "value"], range_rows, n).join(sizes, [*keys, "value"]).withColumn("rank", F.col("start") + F.col("_above")).drop("start", "_above")
+def _names() -> list[str]:
+    return [c.split()[0] for c in _RUNS.split(", ")]
 
 
-def _matched(rows: DataFrame, range_rows: int, n: int) -> DataFrame:
-    """One superstep over units and open gaps: a gap offers as many slots as it holds of the largest unit of its kind, the
-    last with what is left over; from large to small, a unit takes the smallest slot that holds it and isn't taken.
+def _swept(runs: DataFrame) -> DataFrame:
+    """One sweep: from large to small, every unit takes the smallest gap that holds it and that no unit before it took.
 
-    That is how brackets match: slots open, units close. A row's level is the count of slots less units of all rows before
-    it, from the counts of the sizes and its rank within its size; at one level slots and units take turns, so a unit's
-    slot is the row right before it. A level has at most one slot and one unit of each size.
+    That is how brackets match: gaps open, units close. The count of gaps less units before a run gives the levels that the
+    run covers; the levels are cut where any run begins or ends, and on each stretch a unit's gap is the run right before it.
     """
-    units = rows.where("what = 'unit'")
-    most = units.groupBy("kind").agg(F.max("value").alias("most"))
-    gaps = rows.where("what = 'gap'").join(most, "kind", "left")
-    slots = F.greatest(F.floor(F.col("value") / F.col("most")), F.lit(1)).cast("int")
-    gaps = gaps.withColumn("slot", F.explode(F.sequence(F.lit(1), F.coalesce(slots, F.lit(1)))))
-    gaps = gaps.withColumn("value", F.when((F.col("slot") == 1) | F.col("most").isNull(), F.col("value") - F.coalesce((slots - 1) * F.col("most"), F.lit(0))).otherwise(F.col("most")).cast("int"))
-    names = ["what", "kind", "capacity", "id", "container", "value", "slot"]
-    rows = units.withColumn("slot", F.lit(0)).select(*names).unionByName(gaps.select(*names))
-    sizes = rows.groupBy("kind", "what", "value").agg(F.count("*").alias("_n"))
-    before = Window.partitionBy("kind").orderBy(F.desc("value"), "what").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = sizes.withColumn("_open", F.coalesce(F.sum(F.when(F.col("what") == "gap", F.col("_n")).otherwise(-F.col("_n"))).over(before), F.lit(0))).drop("_n")
-    level = F.when(F.col("what") == "gap", F.col("_open") + F.col("start")).otherwise(F.col("_open") - 1 - F.col("start"))
-    at = _ranked(rows, ["kind", "what", "value"], range_rows, n).join(sizes, ["kind", "what", "value"]).withColumn("level", level)
-    turn = Window.partitionBy("kind", "level").orderBy(F.desc("value"), "what")
-    taken = F.when(F.lead("what").over(turn) == "unit", F.lead("value").over(turn)).otherwise(0)
-    at = cut(at.withColumn("owner", F.when(F.lag("what").over(turn) == "gap", F.lag("container").over(turn))).withColumn("left", F.col("value") - taken))
-    after = at.where("what = 'unit'").select(F.when(F.col("owner").isNull(), "unit").otherwise("placed").alias("what"), "kind", "capacity", "id", F.col("owner").alias("container"), "value")
-    open_gaps = at.where("what = 'gap'").groupBy("kind", "capacity", "container").agg(F.sum("left").cast("int").alias("value")).where("value > 0")
-    return after.unionByName(open_gaps.select(F.lit("gap").alias("what"), "kind", "capacity", F.lit(None).cast("string").alias("id"), "container", "value"))
-
-
-def _opened(rows: DataFrame, octave: int, full: bool, sparing: bool, range_rows: int, n: int) -> DataFrame:
-    """Units that fit no gap open containers. ``full``: as many units of a size as a container holds share one, and those
-    that don't make a full container wait. Else as many share one as always fit in this octave. If ``sparing`` or not
-    ``full``, the largest units open the least number of containers of their kind that could do, and the others wait."""
-    units = rows.where("what = 'unit'")
-    least = units.groupBy("kind").agg(F.ceil(F.sum("value") / F.max("capacity")).alias("least"))
-    if full:
-        units = units.withColumn("q", F.floor(F.col("capacity") / F.col("value")))
-        counts = units.groupBy("kind", "q").agg(F.floor(F.count("*") / F.col("q")).alias("bins"))
-        before = Window.partitionBy("kind").orderBy("q").rowsBetween(Window.unboundedPreceding, -1)
-        counts = counts.withColumn("earlier", F.coalesce(F.sum("bins").over(before), F.lit(0))).join(least, "kind")
-        ranked = _descending(units, ["kind", "q"], range_rows, n).join(counts, ["kind", "q"]).withColumn("bin", F.floor(F.col("rank") / F.col("q")))
-        ranked = ranked.withColumn("opens", (F.col("bin") < F.col("bins")) & (F.lit(not sparing) | (F.col("bin") + F.col("earlier") < F.col("least"))))
-    else:
-        ranked = _descending(units, ["kind"], range_rows, n).join(least, "kind").withColumn("q", F.lit(2**octave))
-        ranked = ranked.withColumn("bin", F.floor(F.col("rank") / F.col("q"))).withColumn("opens", F.col("bin") < F.col("least"))
-    shared = Window.partitionBy("kind", "q", "bin")
-    held = ranked.where("opens").withColumn("container", F.min("id").over(shared)).withColumn("left", (F.col("capacity") - F.sum("value").over(shared)).cast("int"))
-    first = (F.col("id") == F.col("container")) & (F.col("left") > 0)
-    placed = F.struct(F.lit("placed").alias("what"), "id", "container", "value")
-    gap = F.struct(F.lit("gap").alias("what"), F.lit(None).cast("string").alias("id"), "container", F.col("left").alias("value"))
-    out = held.select("kind", "capacity", F.explode(F.when(first, F.array(placed, gap)).otherwise(F.array(placed))).alias("x")).select("x.what", "kind", "capacity", "x.id", "x.container", "x.value")
-    return out.unionByName(ranked.where("not opens").select(*out.columns)).unionByName(rows.where("what = 'gap'").select(*out.columns))
-
-
-def _standing(state: DataFrame) -> tuple[int, int, bool]:
-    """Rows, units, and whether a unit fits an open gap. One row per kind goes to the driver."""
+    order = [F.desc("value"), F.col("what"), F.col("run"), F.col("at")]  # at equal sizes the gap comes first
+    sign = F.when(F.col("what") == "gap", F.col("n")).otherwise(-F.col("n"))
+    upto = Window.partitionBy("kind").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    leveled = runs.withColumn("_after", F.sum(sign).over(upto)).withColumn("low", F.when(F.col("what") == "gap", F.col("_after") - F.col("n")).otherwise(F.col("_after"))).drop("_after")
+    ends = leveled.select("kind", F.explode(F.array(F.col("low"), F.col("low") + F.col("n"))).alias("point")).distinct()
+    ends = ends.withColumn("length", F.lead("point").over(Window.partitionBy("kind").orderBy("point")) - F.col("point")).where("length > 0")
+    parts = leveled.join(ends, "kind").where((F.col("point") >= F.col("low")) & (F.col("point") < F.col("low") + F.col("n")))
+    parts = parts.withColumn("at", F.col("at") + F.col("point") - F.col("low"))
+    at_level = Window.partitionBy("kind", "point").orderBy(*order)
+    for name in ("what", "value", "run", "at"):
+        parts = parts.withColumn(f"_{name}", F.lag(name).over(at_level))
+    parts = parts.withColumn("next", F.lead("what").over(at_level)).withColumn("taken", F.lead("value").over(at_level))
+    unit, matched = F.col("what") == "unit", F.col("_what") == "gap"
+    left = F.col("value") - F.when(F.col("next") == "unit", F.col("taken")).otherwise(0)
+    after = parts.select(
+        F.when(unit & matched, "placed").otherwise(F.col("what")).alias("what"), "kind", "capacity",
+        F.when(unit, F.col("value")).otherwise(left).cast("int").alias("value"), F.when(unit, F.col("_run")).otherwise(F.col("run")).alias("run"),
+        "at", F.col("length").alias("n"), F.when(unit & matched, F.col("_at")).alias("start"),
+    ).withColumn("run", F.when(F.col("what") != "unit", F.col("run")))
+    return _joined(after.where("what <> 'gap' or value > 0"))
+
+
+def _opened(runs: DataFrame, step: str, most: int | None) -> DataFrame:
+    """The largest units open containers, as few as could hold all units that wait; a container holds at most ``most``."""
+    units = runs.where("what = 'unit'")
+    before = Window.partitionBy("kind").orderBy(F.desc("value"), "at").rowsBetween(Window.unboundedPreceding, -1)
+    everything = Window.partitionBy("kind")
+    least = F.ceil(F.sum(F.col("value") * F.col("n")).over(everything) / F.col("capacity"))
+    if most:
+        least = F.greatest(least, F.ceil(F.sum("n").over(everything) / F.lit(most)))
+    ranked = units.withColumn("_least", least).withColumn("_before", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    ranked = ranked.withColumn("opens", F.greatest(F.least(F.col("n"), F.col("_least") - F.col("_before")), F.lit(0)))
+    name = F.concat_ws(".", F.lit(step), F.col("value").cast("string"), F.col("at").cast("string"))
+    nothing = F.lit(None).cast("long")
+    placed = F.struct(F.lit("placed").alias("what"), F.col("value"), name.alias("run"), F.col("at"), F.col("opens").alias("n"), F.lit(0).cast("long").alias("start"))
+    gap = F.struct(F.lit("gap").alias("what"), (F.col("capacity") - F.col("value")).cast("int").alias("value"), name.alias("run"), F.lit(0).cast("long").alias("at"), F.col("opens").alias("n"), nothing.alias("start"))
+    waits = F.struct(F.lit("unit").alias("what"), F.col("value"), F.lit(None).cast("string").alias("run"), (F.col("at") + F.col("opens")).alias("at"), (F.col("n") - F.col("opens")).alias("n"), nothing.alias("start"))
+    made = ranked.select("kind", "capacity", F.explode(F.array(placed, gap, waits)).alias("x")).select("x.what", "kind", "capacity", "x.value", "x.run", "x.at", "x.n", "x.start")
+    return made.where("n > 0 and value > 0").unionByName(runs.where("what = 'gap'"))
+
+
+def _standing(state: DataFrame) -> tuple[bool, bool]:
+    """Whether units wait, and whether one of them fits an open gap. One row per kind goes to the driver."""
     unit, gap = F.col("what") == "unit", F.col("what") == "gap"
-    kinds = state.groupBy("kind").agg(F.count_if(unit | gap).alias("rows"), F.count_if(unit).alias("units"), F.min(F.when(unit, F.col("value"))).alias("least"), F.max(F.when(gap, F.col("value"))).alias("most")).collect()
-    fits = any(r.units and r.most is not None and r.least <= r.most for r in kinds)
-    return sum(r["rows"] for r in kinds), sum(r.units for r in kinds), fits
+    kinds = state.groupBy("kind").agg(F.min(F.when(unit, F.col("value"))).alias("least"), F.max(F.when(gap, F.col("value"))).alias("most")).collect()
+    return any(r.least is not None for r in kinds), any(r.least is not None and r.most is not None and r.least <= r.most for r in kinds)
 
 
-def _union(spark: SparkSession, parts: list[DataFrame]) -> DataFrame:
-    out = spark.createDataFrame([], _STATE)
-    for part in parts:
-        out = out.unionByName(part)
-    return out
-
-
-def fitted(units: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
-    """``kind, id, container`` for ``units`` (``kind, capacity, id, value``), each smaller than the capacity."""
-    spark = units.sparkSession
-    gaps: list[DataFrame] = []
+def placements(sizes: DataFrame) -> DataFrame:
+    """``kind, value, at, n, run, start``: the units of a size with ranks from ``at`` go, one each, into the ``n`` containers
+    of ``run`` from number ``start``. ``sizes`` has ``kind, capacity, value, n``, one row a size."""
+    spark = sizes.sparkSession
+    state = spark.createDataFrame([], _RUNS)
     parts: list[DataFrame] = []
     for octave in range(OCTAVES):
-        upper, lower = F.col("capacity") / 2**octave, F.col("capacity") / 2 ** (octave + 1)
         last = octave == OCTAVES - 1
-        now = units.where(F.col("value") <= upper)
+        own = F.col("value") <= F.col("capacity") / 2**octave
         if not last:
-            now = now.where(F.col("value") > lower)
-        now = now.select(F.lit("unit").alias("what"), "kind", "capacity", "id", F.lit(None).cast("string").alias("container"), "value")
-        # gaps that hold no unit of this octave are left aside until the next
-        open_gaps = _union(spark, gaps)
-        wide = F.lit(True) if last else F.col("value") > lower
-        gaps = [open_gaps.where(~wide)]
-        state = now.unionByName(open_gaps.where(wide))
-        n, left, fits = _standing(state)
+            own = own & (F.col("value") > F.col("capacity") / 2 ** (octave + 1))
+        units = sizes.where(own).select(F.lit("unit").alias("what"), "kind", "capacity", "value", F.lit(None).cast("string").alias("run"), F.lit(0).cast("long").alias("at"), "n", F.lit(None).cast("long").alias("start"))
+        state = state.unionByName(units)
         openings = 0
-        while left:
+        waiting, fits = _standing(state)
+        while waiting:
             if fits:
-                state = cut(_matched(state, range_rows, n))
+                made = cut(_swept(state))
             else:
-                # what the last octave leaves open stays open: at first it opens no more than must be
-                state = cut(_opened(state, octave, openings < 1 + last, last and not openings, range_rows, n))
+                made = cut(_opened(state, f"{octave}.{openings}", None if last else 2 ** (octave + 1) - 1))
                 openings += 1
-            parts.append(state.where("what = 'placed'"))
-            gaps.append(state.where("what = 'gap'").where(~wide))
-            state = state.where((F.col("what") == "unit") | ((F.col("what") == "gap") & wide))
-            n, left, fits = _standing(state)
-        gaps.append(state.where("what = 'gap'"))
-    return _union(spark, parts).select("kind", "id", "container")
+            parts.append(made.where("what = 'placed'"))
+            state = made.where("what <> 'placed'")
+            waiting, fits = _standing(state)
+    out = spark.createDataFrame([], _RUNS)
+    for part in parts:
+        out = out.unionByName(part)
+    return out.select("kind", "value", "at", "n", "run", "start")
+
+
+def fitted(units: DataFrame) -> DataFrame:
+    """``kind, id, container`` for ``units`` (``kind, capacity, id, value``), each smaller than the capacity.
+
+    Units are ranked within their size by hash buckets, so a size that most of them share is spread over all tasks.
+    """
+    placed = cut(placements(cut(units.groupBy("kind", "capacity", "value").agg(F.count("*").alias("n")))))
+    ranked = running_start(units.select("kind", "id", "value"), ["kind", "value"], F.pmod(F.xxhash64("id"), F.lit(BUCKETS)), [F.col("id")], F.lit(1), BUCKETS)
+    rank = F.col("r.start")
+    both = ranked.alias("r").join(placed.alias("p"), (F.col("r.kind") == F.col("p.kind")) & (F.col("r.value") == F.col("p.value")) & (rank >= F.col("p.at")) & (rank < F.col("p.at") + F.col("p.n")))
+    number = F.col("p.start") + rank - F.col("p.at")
+    return both.select("r.kind", "r.id", F.concat_ws(":", F.col("r.kind"), F.col("p.run"), number.cast("string")).alias("container"))
 
 
 def packed(documents: DataFrame, containers: DataFrame, path: str | None = None) -> DataFrame:

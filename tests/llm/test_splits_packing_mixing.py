@@ -80,7 +80,7 @@ def test_packing_is_whole_and_tight(spark):
     for kind, capacity in (("small", 40), ("large", 200)):
         n = check_packing([r for r in rows if r.container_kind == kind], counts, capacity)
         assert n <= sum(counts.values()) / capacity * 1.05 + 1
-    narrow = packing.fitted(spark.createDataFrame([("k", 100, str(i), 1 + i * 37 % 70) for i in range(400)], "kind string, capacity int, id string, value int"), range_rows=60).collect()
+    narrow = packing.fitted(spark.createDataFrame([("k", 100, str(i), 1 + i * 37 % 70) for i in range(400)], "kind string, capacity int, id string, value int")).collect()
     assert len(narrow) == 400
     load = {}
     for r in narrow:
@@ -94,7 +94,7 @@ def test_packing_opens_only_where_no_gap_fits(spark):
     # the small units lie in other ranges of values than the gaps that hold them
     values = [60] * 100 + [10] * 200 + [9] * 200
     units = spark.createDataFrame([("k", 100, str(i), v) for i, v in enumerate(values)], "kind string, capacity int, id string, value int")
-    rows = packing.fitted(units, range_rows=20).collect()
+    rows = packing.fitted(units).collect()
     load = {}
     for r in rows:
         load[r.container] = load.get(r.container, 0) + values[int(r.id)]
