@@ -9,6 +9,7 @@ from __future__ import annotations
 import re
 import sys
 import warnings
+from collections import Counter
 from functools import lru_cache
 
 # The language that each extension stands for.
@@ -55,8 +56,7 @@ _NUMBER = r"0[xX][0-9a-fA-F_]+[nuUlL]*|0[bBoO][0-7_]+[nlLuU]*|(?:\d[\d_]*\.?[\d_
 _REGEX = re.compile(r"/(?![*/])(?:[^\\/\[\n\r]|\\[^\n\r]|\[(?:[^\]\\\n\r]|\\[^\n\r])*\])+/[a-z]*")
 
 
-DEEPEST = 2000  # nested expressions or types
-FRAMES = 40_000  # room on the interpreter's stack for them
+FRAMES_A_TOKEN, MOST_FRAMES = 24, 20_000_000  # room for nesting: frames live on the heap, so it grows with the text
 
 
 class Bad(Exception):
@@ -170,9 +170,9 @@ class Parser:
 
     lang = ""
 
-    def __init__(self, text: str):
-        self.kinds, self.words, self.fresh = _lex(self.lang, text)
-        self.reserved, self.binary, self.at, self.deep = RESERVED[self.lang], BINARY[self.lang], 0, 0
+    def __init__(self, tokens: tuple[list[str], list[str], list[bool]]):
+        self.kinds, self.words, self.fresh = tokens
+        self.reserved, self.binary, self.at = RESERVED[self.lang], BINARY[self.lang], 0
         self.failed: set[tuple[str, int]] = set()
 
     @property
@@ -209,14 +209,14 @@ class Parser:
     def attempt(self, rule) -> bool:
         """Runs ``rule``; on failure the cursor goes back. What failed once at a place isn't tried there again, so nested
         attempts don't multiply."""
-        at, deep, no_in, literal = self.at, self.deep, self.no_in, self.literal
+        at, no_in, literal = self.at, self.no_in, self.literal
         if (rule.__name__, at) in self.failed:
             return False
         try:
             rule()
             return True
         except Bad:
-            self.at, self.deep, self.no_in, self.literal = at, deep, no_in, literal
+            self.at, self.no_in, self.literal = at, no_in, literal
             self.failed.add((rule.__name__, at))
             return False
 
@@ -241,9 +241,6 @@ class Parser:
             self.assignment()
 
     def assignment(self) -> None:
-        self.deep += 1
-        if self.deep > DEEPEST:
-            raise Bad
         self.operand()
         while self.is_(*self.binary) and not (self.no_in and self.is_("in")):
             if self.lang == "java" and self.is_(">") and self.peek() == ">":  # shift, lexed apart inside generics
@@ -260,7 +257,6 @@ class Parser:
         elif self.is_(*_ASSIGN):
             self.at += 1
             self.assignment()
-        self.deep -= 1
 
     no_in, literal = False, True  # whether an in ends the expression; whether a composite literal may stand here
 
@@ -704,9 +700,6 @@ class Script(Parser):
     # types
 
     def type_(self) -> None:
-        self.deep += 1
-        if self.deep > DEEPEST:
-            raise Bad
         self.take("|") or self.take("&")
         self.type_part()
         while self.take("|") or self.take("&"):
@@ -718,7 +711,6 @@ class Script(Parser):
             self.type_()
             self.need(":")
             self.type_()
-        self.deep -= 1
 
     def type_part(self) -> None:
         if self.is_("keyof", "readonly", "unique", "infer", "typeof") and (self.kinds[self.at + 1] == "id" or self.peek() in ("(", "[", "{")):
@@ -1766,9 +1758,6 @@ class Go(Parser):
             self.type_()
 
     def type_(self) -> None:
-        self.deep += 1
-        if self.deep > DEEPEST:
-            raise Bad
         self.take("~")
         if self.take("*"):
             self.type_()
@@ -1815,7 +1804,6 @@ class Go(Parser):
                 self.name()
             if self.is_("[") and (self.is_name(1) or self.peek() in ("*", "[", "map")):
                 self.attempt(self.type_instance)
-        self.deep -= 1
 
     def type_instance(self) -> None:
         self.need("[")
@@ -1860,14 +1848,10 @@ class Go(Parser):
             self.assignment()
 
     def assignment(self) -> None:
-        self.deep += 1
-        if self.deep > DEEPEST:
-            raise Bad
         self.operand()
         while self.is_(*self.binary):
             self.at += 1
             self.operand()
-        self.deep -= 1
 
     def postfix(self) -> bool:
         if self.take("."):
@@ -2040,8 +2024,28 @@ _SIGNS = {
 _WORD = re.compile(r"[A-Za-z_]\w*")
 
 
-def valid(language: str, text: str | None) -> bool:
-    """Whether ``text`` is syntactically valid; a byte order mark or emptiness is no fault."""
+_latest: list = [None, None]
+
+
+def _tokens(language: str, text: str) -> tuple[list[str], list[str], list[bool]]:
+    """JavaScript and TypeScript have the same tokens; the latest text's are kept for the other of the two."""
+    if language not in ("javascript", "typescript"):
+        return _lex(language, text)
+    if _latest[0] != text:
+        _latest[:] = text, None
+        try:
+            _latest[1] = _lex(language, text)
+        except Bad:
+            pass
+    if _latest[1] is None:
+        raise Bad
+    kinds, words, fresh = _latest[1]
+    return list(kinds), list(words), list(fresh)
+
+
+def judged(language: str, text: str | None) -> bool | None:
+    """Whether ``text`` is syntactically valid; a byte order mark or emptiness is no fault. Null where nesting is deeper than
+    the interpreter's memory can follow."""
     text = (text or "").removeprefix("\ufeff")
     if not text.strip():
         return True
@@ -2051,21 +2055,32 @@ def valid(language: str, text: str | None) -> bool:
                 warnings.simplefilter("ignore")
                 compile(text, "file", "exec", dont_inherit=True)
             return True
-        except (SyntaxError, ValueError, RecursionError, MemoryError, OverflowError):
+        except (SyntaxError, ValueError, OverflowError):
             return False
+        except (RecursionError, MemoryError):
+            return None
     if language in ("javascript", "typescript") and text.startswith("#!"):
-        text = text.partition("\n")[2]
-    if sys.getrecursionlimit() < FRAMES:
-        sys.setrecursionlimit(FRAMES)
+        text = text[len(text.split("\n", 1)[0]) :]
     try:
-        _PARSERS[language](text).file()
+        tokens = _tokens(language, text)
+        room = min(2000 + FRAMES_A_TOKEN * len(tokens[0]), MOST_FRAMES)
+        if sys.getrecursionlimit() < room:
+            sys.setrecursionlimit(room)
+        _PARSERS[language](tokens).file()
         return True
-    except (Bad, RecursionError, IndexError):
+    except (Bad, IndexError):
         return False
+    except (RecursionError, MemoryError):
+        return None
+
+
+def valid(language: str, text: str | None) -> bool:
+    """Whether ``text`` is known to be valid."""
+    return judged(language, text) is True
 
 
 def ranked(text: str) -> list[str]:
     """The languages, those whose words the text uses most first."""
-    words = _WORD.findall(text)
-    counts = {lang: sum(words.count(w) for w in signs) for lang, signs in _SIGNS.items()}
+    words = Counter(_WORD.findall(text))
+    counts = {lang: sum(words[w] for w in signs) for lang, signs in _SIGNS.items()}
     return sorted(LANGUAGES, key=lambda lang: (-counts[lang], lang))

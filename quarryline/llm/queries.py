@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarryline.llm import mixing, overlap, packing, sources, splits, subjects
+from quarryline.llm import documented, mixing, overlap, packing, sources, splits, subjects
 from quarryline.session import cut, table
 
 
@@ -30,11 +30,11 @@ def p2_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sources.documented(table(spark, sf_dir, "source_files")).select("file_id", "name", "start_line")
+    return documented.documented(table(spark, sf_dir, "source_files")).select("file_id", "name", "start_line")
 
 
 def p6_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sources.pairs(table(spark, sf_dir, "source_files"))
+    return documented.pairs(table(spark, sf_dir, "source_files"))
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,22 +1,15 @@
-"""Source files that don't parse (p2), and functions paired with their documentation (p6).
+"""Source files that don't parse (p2).
 
-Every file is parsed with the grammar that its extension stands for; the files that fail are tried with all other grammars,
-those first whose words the text uses most: a foreign grammar that accepts the text means a wrong extension, none means
-damage. For the valid files the tokens are exploded into rows; windows over cumulative depth and islands between
-delimiters find the functions, and the comment or string that stands right before or after becomes their documentation.
+Every file is parsed with all grammars, in the order of the evidence that its words give: the grammar of its extension decides
+whether it is valid, a foreign grammar that accepts it points to a wrong extension, none at all to damage.
 """
 
 from __future__ import annotations
 
-import ast
-import bisect
-import inspect
-import io
 import re
-import tokenize
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -24,7 +17,6 @@ from quarryline.llm import grammars
 from quarryline.session import first_delivery
 
 
-
 def language_of(path: Column) -> Column:
     """The language that a path's extension stands for, else null."""
     extension = F.lower(F.regexp_extract(path, r"\.([A-Za-z]+)$", 1))
@@ -34,30 +26,41 @@ def language_of(path: Column) -> Column:
     return out
 
 
-def _fault(language: str, text: str) -> tuple[bool, str | None, str | None]:
-    """(valid, the language whose grammar accepts the text, what is wrong)."""
-    if grammars.valid(language, text):
-        return True, language, None
-    for other in grammars.ranked(text):
-        if other != language and grammars.valid(other, text):
-            return False, other, "wrong extension"
+def verdict(language: str, text: str) -> tuple[bool | None, list[str], str | None]:
+    """(valid, or null where no grammar comes to an end; the languages whose grammars accept the text, the likeliest first;
+    what is wrong). A text without a character is valid in its own language."""
+    if not text.removeprefix("\ufeff").strip():
+        return True, [language], None
+    found = {lang: grammars.judged(lang, text) for lang in grammars.ranked(text)}
+    accepted = [lang for lang, good in found.items() if good]
+    own = found[language]
+    if own:
+        return True, accepted, None
+    if own is None:
+        return None, accepted, "too deep"
+    if accepted:
+        return False, accepted, "wrong extension"
     if re.search(r"(?m)^(<{7} |>{7} |\|{7} )", text):
-        return False, None, "merge conflict"
+        return False, [], "merge conflict"
     opened, closed = sum(map(text.count, "([{")), sum(map(text.count, ")]}"))
-    return False, None, "truncated" if opened > closed or not text.endswith(("\n", "\r")) else "corrupt"
+    return False, [], "truncated" if opened > closed or not text.endswith(("\n", "\r")) else "corrupt"
+
+
+_VERDICT = T.StructType([T.StructField("valid", T.BooleanType()), T.StructField("accepted_by", T.ArrayType(T.StringType())), T.StructField("fault", T.StringType())])
 
 
-@F.pandas_udf(T.StructType([T.StructField("valid", T.BooleanType()), T.StructField("accepted_by", T.StringType()), T.StructField("fault", T.StringType())]))
+@F.pandas_udf(_VERDICT)
 def _checked(language: pd.Series, content: pd.Series) -> pd.DataFrame:
-    rows = [_fault(a, b or "") if a else (None, None, None) for a, b in zip(language, content)]
+    rows = [verdict(a, b or "") if a else (None, None, None) for a, b in zip(language, content)]
     return pd.DataFrame(rows, columns=["valid", "accepted_by", "fault"])
 
 
 def checked(files: DataFrame) -> DataFrame:
     """``file_id, repository_id, commit_sha, path, language, valid, accepted_by, fault``, one row per file.
 
-    A file whose extension stands for no language here isn't judged (null); null and empty contents are valid; of a
-    re-delivered file the earliest row counts. Contents are parsed where they are read, only verdicts are shuffled.
+    ``accepted_by`` holds every language whose grammar accepts the file. A file whose extension stands for no language here
+    isn't judged (null), nor is one nested deeper than memory can follow (null, ``too deep``); null and empty contents are
+    valid; of a re-delivered file the earliest row counts. Contents are parsed where they are read, only verdicts are shuffled.
     """
     rows = files.where("file_id is not null").withColumn("language", language_of(F.col("path"))).withColumn("c", _checked("language", "content"))
     flat = rows.select("file_id", "parsed_at", "repository_id", "commit_sha", "path", "language", F.col("c.valid").alias("valid"), F.col("c.accepted_by").alias("accepted_by"), F.col("c.fault").alias("fault"))
@@ -89,320 +92,3 @@ def rates(files: DataFrame, errors: DataFrame) -> DataFrame:
         F.sum(F.when(~F.col("valid"), F.coalesce("logged", F.lit(0))).otherwise(0)).alias("logged"),
         F.sum(F.when(F.col("valid"), F.coalesce("logged", F.lit(0))).otherwise(0)).alias("wrongly_logged"),
     )
-
-
-# functions and their documentation
-
-_KEPT = frozenset("{ } ( ) [ ] ; , = => : @ * . < >".split())
-_CODE_POINTS = T.StructType([
-    T.StructField("kind", T.ArrayType(T.StringType())), T.StructField("text", T.ArrayType(T.StringType())),
-    T.StructField("line", T.ArrayType(T.IntegerType())), T.StructField("last", T.ArrayType(T.IntegerType())),
-])
-
-
-def _python_tokens(text: str) -> list[tuple[str, str, int, int]]:
-    """Names, brackets and statement ends; strings next to each other are one, with their value if they could document."""
-    rows: list[tuple[str, str, int, int]] = []
-    strings: list[str] = []
-    spot = (0, 0)
-
-    def flush() -> None:
-        if strings:
-            try:
-                value = ast.literal_eval("(" + "\n".join(strings) + ")")
-            except (ValueError, SyntaxError, MemoryError, RecursionError):
-                value = None
-            rows.append(("str", inspect.cleandoc(value), *spot) if isinstance(value, str) else ("other", "", *spot))
-            strings.clear()
-
-    for t in tokenize.generate_tokens(io.StringIO(text).readline):
-        if t.type in (tokenize.COMMENT, tokenize.NL, tokenize.INDENT, tokenize.DEDENT, tokenize.ENCODING):
-            continue
-        line = t.start[0] - 1
-        if t.type == tokenize.STRING:
-            if not strings:
-                spot = (line, t.end[0] - 1)
-            strings.append(t.string)
-            continue
-        flush()
-        if t.type == tokenize.NEWLINE:
-            rows.append(("end", "", line, line))
-        elif t.type == tokenize.NAME:
-            rows.append(("id", t.string, line, line))
-        elif t.type == tokenize.OP and t.string in "()[]{}:;":
-            rows.append(("op", t.string, line, line))
-        else:
-            rows.append(("other", "", line, line))
-    flush()
-    return rows
-
-
-def _brace_tokens(language: str, text: str) -> list[tuple[str, str, int, int]]:
-    notes: list[tuple[int, str, bool]] = []
-    places: list[int] = []
-    kinds, words, _ = grammars._lex(language, text, notes, places)
-    breaks = [m.start() for m in re.finditer(r"\r\n|\n|\r", text)]
-    lines = lambda at: bisect.bisect_left(breaks, at)
-    rows = []
-    for at, word, first in notes:
-        kind = "doc" if word.startswith("/**") and not word.startswith("/**/") else "note"
-        rows.append((at, (kind if first or language != "go" else "trailing"), word, lines(at), lines(at + len(word) - 1)))
-    for at, kind, word in zip(places, kinds, words):
-        if kind == "id" or (kind == "op" and word in _KEPT):
-            rows.append((at, kind, word, lines(at), lines(at)))
-        elif kind == "op" and word in ("${", "}$"):
-            rows.append((at, "op", word[0] if word == "}$" else "{", lines(at), lines(at)))
-        elif kind != "eof":
-            rows.append((at, "other", "", lines(at), lines(at)))
-    rows.sort(key=lambda r: r[0])
-    return [r[1:] for r in rows]
-
-
-def _tokens(language: str | None, text: str | None) -> list[tuple[str, str, int, int]]:
-    text = (text or "").removeprefix("\ufeff")
-    if not language or not text.strip() or not grammars.valid(language, text):
-        return []
-    try:
-        if language == "python":
-            return _python_tokens(re.sub(r"\r\n|\r", "\n", text))
-        return _brace_tokens(language, text)
-    except (grammars.Bad, tokenize.TokenError, SyntaxError, IndentationError):
-        return []
-
-
-@F.pandas_udf(_CODE_POINTS)
-def _token_arrays(language: pd.Series, content: pd.Series) -> pd.DataFrame:
-    out = []
-    for a, b in zip(language, content):
-        rows = _tokens(a, b)
-        out.append([list(c) for c in zip(*rows)] if rows else [[], [], [], []])
-    return pd.DataFrame(out, columns=["kind", "text", "line", "last"])
-
-
-def token_rows(files: DataFrame) -> DataFrame:
-    """One row per token of the valid files: ``file_id, language, seq, kind, text, line, last``. The files are shuffled
-    once by file; the rows stay where their file is, so the windows over them need no further shuffle."""
-    once = first_delivery(files.select("file_id", "parsed_at", "path", "content"), "file_id", ["parsed_at"])
-    arrays = once.select("file_id", language_of(F.col("path")).alias("language"), "content").where("language is not null")
-    arrays = arrays.select("file_id", "language", _token_arrays("language", "content").alias("t"))
-    zipped = F.arrays_zip(F.col("t.kind").alias("kind"), F.col("t.text").alias("text"), F.col("t.line").alias("line"), F.col("t.last").alias("last"))
-    return arrays.select("file_id", "language", F.posexplode(zipped).alias("seq", "x")).select("file_id", "language", "seq", "x.kind", "x.text", "x.line", "x.last")
-
-
-_HEADER_WORDS = ("export", "default", "async", "function", "const", "static", "get", "set", "public", "private", "protected", "readonly", "abstract", "override", "declare")
-_CONTROL = ("if", "for", "while", "switch", "catch", "function", "return", "with", "do", "else", "try", "synchronized", "await", "typeof", "sizeof", "super", "this", "func", "case", "throw", "yield", "void")
-
-
-def definitions(rows: DataFrame) -> DataFrame:
-    """``file_id, language, name, start_line, documentation`` of every function that has any documentation."""
-    by_file = Window.partitionBy("file_id").orderBy("seq")
-    code = rows.where("kind not in ('doc', 'note', 'trailing')")
-    opens, closes = F.col("text").isin("{", "(", "["), F.col("text").isin("}", ")", "]")
-    is_op = F.col("kind") == "op"
-    upto = by_file.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    step = F.when(is_op & opens, 1).when(is_op & closes, -1).otherwise(0)
-
-    # depth: both brackets of a pair carry the depth outside of them, what is between them one more
-    deep = code.withColumn("after", F.sum(step).over(upto)).withColumn("depth", F.when(is_op & opens, F.col("after") - 1).otherwise(F.col("after")))
-    level = Window.partitionBy("file_id", "depth").orderBy("seq")
-    nxt = lambda n=1: F.lead("text", n).over(by_file)
-    prev = lambda n=1: F.lag("text", n).over(by_file)
-    deep = (
-        deep.withColumn("next", nxt()).withColumn("next2", nxt(2)).withColumn("next3", nxt(3))
-        .withColumn("next_kind", F.lead("kind").over(by_file)).withColumn("next2_kind", F.lead("kind", 2).over(by_file)).withColumn("next3_kind", F.lead("kind", 3).over(by_file))
-        .withColumn("prev", prev()).withColumn("prev2", prev(2))
-    )
-    # of an opening bracket: what follows its end; both stand next to each other among the brackets of a depth
-    brackets = F.when(is_op & (opens | closes), F.struct(F.col("next").alias("follows"), F.col("prev").alias("before"), F.col("seq").alias("seq")))
-    ahead = level.rowsBetween(1, Window.unboundedFollowing)
-    behind = level.rowsBetween(Window.unboundedPreceding, -1)
-    deep = deep.withColumn("close", F.when(is_op & opens, F.first(brackets, ignorenulls=True).over(ahead)))
-    deep = deep.withColumn("open", F.when(is_op & closes, F.last(F.when(is_op & opens, brackets), ignorenulls=True).over(behind)))
-    # islands: where the last statement of this depth ended, and the first header colon after a Python name
-    ends = (is_op & (F.col("text").isin(";") | F.col("text").isin("}")))
-    deep = deep.withColumn("ended", F.last(F.when(ends, F.col("seq")), ignorenulls=True).over(behind))
-    starts_class = (F.col("kind") == "id") & F.col("text").isin("class", "interface", "enum", "record")
-    deep = deep.withColumn("classed", F.last(F.when(starts_class, F.col("seq")), ignorenulls=True).over(behind))
-    deep = deep.withColumn("class_open", F.when(is_op & (F.col("text") == "{"), F.col("classed") > F.coalesce("ended", F.lit(-1))))
-    within = Window.partitionBy("file_id", "inside").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    deep = deep.withColumn("inside", F.col("after"))
-    opened = F.when(is_op & opens, F.struct("seq", "class_open"))
-    deep = deep.withColumn("parent", F.last(opened, ignorenulls=True).over(within))
-    colon = F.when(is_op & (F.col("text") == ":"), F.struct(F.col("seq").alias("seq"), F.col("next").alias("t1"), F.col("next_kind").alias("k1"), F.col("next2").alias("t2"), F.col("next2_kind").alias("k2"), F.col("next3").alias("t3"), F.col("next3_kind").alias("k3")))
-    deep = deep.withColumn("colon", F.when(F.col("prev") == "def", F.first(colon, ignorenulls=True).over(ahead)))
-    after_name = F.lead("close", 1).over(by_file)
-    after_equals = F.when(F.col("next2") == "async", F.lead("close", 3).over(by_file)).otherwise(F.lead("close", 2).over(by_file))
-    deep = deep.withColumn("args", after_name).withColumn("value_args", after_equals).withColumn("receiver", F.lag("open", 1).over(by_file))
-
-    named = (F.col("kind") == "id") & ~F.col("text").isin(*_CONTROL)
-    called = named & (F.col("next") == "(")
-    script = F.col("language").isin("javascript", "typescript")
-    follows = F.col("args.follows")
-    valued = F.when(F.col("next2") == "async", F.col("next3")).otherwise(F.col("next2"))
-    bound = named & F.col("prev").isin("const") & (F.col("next") == "=") & ((valued == "function") | ((valued == "(") & F.col("value_args.follows").isin("=>", ":")) | ((F.col("next3") == "=>") & (F.col("next2_kind") == "id")))
-    is_function = (
-        F.when(F.col("language") == "python", named & (F.col("prev") == "def"))
-        .when(F.col("language") == "go", named & ((F.col("prev") == "func") | ((F.col("prev") == ")") & (F.col("receiver.before") == "func"))) & F.col("next").isin("(", "["))
-        .when(F.col("language") == "c", called & (F.col("depth") == 0) & (follows == "{"))
-        .when(F.col("language") == "java", called & follows.isin("{", "throws") & ~F.col("prev").isin("new", ".", "@") & F.col("parent.class_open"))
-        .when(script, bound | (named & ((F.col("prev") == "function") | ((F.col("prev") == "*") & (F.col("prev2") == "function"))) & F.col("next").isin("(", "<")) | (called & ~F.col("prev").isin("new", ".", "@", "=", "function") & ((follows == "{") | ((follows == ":") & F.col("parent.class_open")))))
-    )
-    # words between a comment and a name that can't belong to the name's own header
-    alien = script & (F.col("kind") == "id") & ~F.col("text").isin(*_HEADER_WORDS)
-    deep = deep.withColumn("aliens", F.coalesce(F.sum(alien.cast("int")).over(by_file.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    deep = deep.withColumn("marks", F.coalesce(F.sum((is_op & (F.col("text") == "@")).cast("int")).over(by_file.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    found = deep.withColumn("is_function", F.coalesce(is_function, F.lit(False)))
-
-    python_doc = F.when(
-        (F.col("colon.k1") == "end") & (F.col("colon.k2") == "str") & ((F.col("colon.k3") == "end") | (F.col("colon.t3") == ";")), F.col("colon.t2")
-    ).when((F.col("colon.k1") == "str") & ((F.col("colon.k2") == "end") | (F.col("colon.t2") == ";")), F.col("colon.t1"))
-    keep = ["file_id", "language", "seq", "text", "line", "is_function", "ended", "aliens", "marks", F.col("parent.seq").alias("parent_seq"), F.when(F.col("is_function"), python_doc).alias("string_doc"), F.lit(None).cast("string").alias("comment"), F.lit(None).cast("string").alias("comment_kind"), F.col("line").alias("last")]
-    # comments join the rows again: the island of comments that ends right before a row is the last one seen
-    comments = rows.where("kind in ('doc', 'note', 'trailing')")
-    apart = F.when((F.col("language") == "go") & (F.col("line") - F.lag("last").over(by_file) <= 1) & (F.col("kind") != "trailing") & (F.lag("kind").over(by_file) != "trailing"), 0).otherwise(1)
-    comments = comments.withColumn("island", F.sum(apart).over(upto))
-    group = Window.partitionBy("file_id", "island").orderBy("seq")
-    whole = group.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    spoken = F.when(~F.col("text").startswith("//go:"), F.col("text"))
-    comments = comments.withColumn("comment", F.when(F.col("language") == "go", F.array_join(F.collect_list(spoken).over(whole), "\n")).otherwise(F.col("text")))
-    none = lambda t: F.lit(None).cast(t)
-    comments = comments.select("file_id", "language", "seq", "text", "line", F.lit(False).alias("is_function"), none("int").alias("ended"), none("long").alias("aliens"), none("long").alias("marks"), none("int").alias("parent_seq"), none("string").alias("string_doc"), "comment", F.col("kind").alias("comment_kind"), "last")
-    both = found.select(*keep).unionByName(comments)
-    carried = F.struct("seq", "comment", "comment_kind", "last")
-    last_comment = F.last(F.when(F.col("comment_kind").isNotNull(), carried), ignorenulls=True).over(upto)
-    first_after = F.when((F.lag("comment_kind").over(by_file)).isNotNull() & F.col("comment_kind").isNull(), F.struct("aliens", "marks", "line"))
-    both = both.withColumn("c", last_comment).withColumn("s", F.last(first_after, ignorenulls=True).over(upto))
-    head_line = F.last(F.when((F.col("language") == "go") & (F.col("text") == "func"), F.col("line")), ignorenulls=True).over(upto)
-    both = both.withColumn("head_line", head_line).where("is_function")
-    near = (F.col("c.seq") > F.coalesce("ended", F.lit(-1))) & (F.col("c.seq") > F.coalesce("parent_seq", F.lit(-1)))
-    own = near & (F.col("c.comment_kind") == "doc") & ((F.col("aliens") == F.col("s.aliens")) | (F.col("marks") > F.col("s.marks")))
-    documentation = (
-        F.when(F.col("language") == "python", F.col("string_doc"))
-        .when((F.col("language") == "go") & (F.col("c.last") == F.col("head_line") - 1) & (F.col("c.comment_kind") != "trailing"), F.col("c.comment"))
-        .when((F.col("language") != "go") & own, F.col("c.comment"))
-    )
-    return both.select("file_id", "language", F.col("text").alias("name"), F.col("line").alias("start_line"), documentation.alias("documentation")).where("documentation is not null")
-
-
-# What stands in place of documentation.
-_PLACEHOLDERS = re.compile(
-    r"(?:todo|fixme|tbd|tba|xxx|n/?a|none|wip|placeholder|docstring|documentation|description|comment|pending|stub|missing|undocumented|no doc(?:s|umentation|string)?)"
-    r"|(?:todo|fixme|xxx|tbd|tba)\b.*"
-    r"|(?:auto-?\s?generated)\b.*"
-    r"|(?:add|insert|write|enter|put|fill in)(?: an?| the| your| some| proper)* (?:description|documentation|docs?|docstring|comment|text)s?(?: here| later| goes here)?"
-    r"|(?:no|missing|empty|needs?|lacks|without)(?: an?| the)? (?:description|documentation|docs?|docstring|comment)s?(?: available| given| provided| yet)?"
-    r"|(?:description|documentation|docs?|docstring|comment|text)s? (?:goes here|here|pending|missing|needed|to follow|to come|tbd)"
-    r"|(?:to be (?:documented|written|done|added|completed))|(?:lorem ipsum)\b.*",
-    re.I,
-)
-_POINTERS = re.compile(
-    r"(?:@?inherit(?:ed|s|doc)?(?:\s+(?:from|docs?|documentation)\b.*)?|\{@inheritdoc\}|overrid(?:es?|den)(?: method| from \S+)?|same as (?:above|\S+)|as above|ditto"
-    r"|(?:see|cf\.?|refer to|documented in|@see)\s+(?:also\s+)?(?:the\s+)?[\w.#:{}@/ ()\[\]-]{1,60})",
-    re.I,
-)
-_TAG = re.compile(r"^\s*(?:[@:\\](?:param|arg|argument|parameter|type|rtype|returns?|throws|raises?|exception|template|tparam)\b)(?P<rest>.*)$", re.I)
-_HEADING = re.compile(r"^\s*(?:args|arguments|parameters|params|returns?|yields?|raises|throws|keyword args)\s*:?\s*$", re.I)
-_EMPTY_ENTRY = re.compile(r"^\s*[-*]?\s*`?\*{0,2}\w+`?\s*(?:\([^)]*\))?\s*:?\s*$")
-_LITTLE = frozenset("a an and the this is of for it its function method procedure func def to does do will that which named called".split())
-
-
-def _plain_comment(text: str) -> str:
-    if text.startswith(("/*", "//")):
-        text = re.sub(r"/\*+(.*?)\*/", lambda m: "\n".join(re.sub(r"^\s*\*+ ?", "", x) for x in re.split(r"\r\n|\n|\r", m.group(1))), text, flags=re.S)
-        text = "\n".join(re.sub(r"^\s*//+", "", x) for x in re.split(r"\r\n|\n|\r", text))
-    return text.strip()
-
-
-def _stem(word: str) -> str:
-    for end in ("ies", "ied"):
-        if word.endswith(end) and len(word) > 4:
-            return word[:-3] + "y"
-    for end in ("ing", "ed", "es", "s", "e"):
-        if word.endswith(end) and len(word) > len(end) + 2:
-            word = word[: -len(end)]
-            break
-    return word[:-1] if len(word) > 3 and word[-1:] == word[-2:-1] else word
-
-
-def trivial(documentation: str | None, name: str) -> bool:
-    """Whether it says nothing beyond the name and signature, see TESTDATA.md."""
-    text = _plain_comment(documentation or "")
-    said: list[str] = []
-    listing = False
-    for line in re.split(r"\r\n|\n|\r", text):
-        tag = _TAG.match(line)
-        if tag:
-            # a type in braces, the parameter's name and marks; what is left are words about it
-            rest = re.sub(r"\{[^}]*\}", " ", tag.group("rest"))
-            kind = re.match(r"\s*[@:\\](\w+)", line).group(1).lower()
-            if kind.startswith(("return", "rtype")):
-                words = rest.replace(":", " ").split()
-                words = words if len(words) > 1 or kind.startswith("return") and words and line.lstrip().startswith("@") and not re.fullmatch(r"[\w.<>\[\]]+", words[0]) else []
-            else:
-                words = re.sub(r"[:\-]", " ", rest).split()[1:]
-            if words:
-                return False
-            continue
-        if _HEADING.match(line):
-            listing = True
-            continue
-        if listing and (_EMPTY_ENTRY.match(line) or not line.strip()):
-            continue
-        said.append(line)
-    left = re.sub(r"\s+", " ", " ".join(said)).strip()
-    bare = left.strip(" .!?:;,-_*#/\"'`…–—()[]")
-    if not re.search(r"\w", bare):
-        return True
-    if _PLACEHOLDERS.fullmatch(bare) or _POINTERS.fullmatch(bare) or _POINTERS.fullmatch(left.rstrip(".")):
-        return True
-    parts = {_stem(p.lower()) for p in name_parts(name)}
-    words = [w for token in re.findall(r"[A-Za-z0-9_]+", left) for w in name_parts(token)]
-    return all(w.lower() in _LITTLE or _stem(w.lower()) in parts for w in words) and bool(re.fullmatch(r"[\x00-\x7f]*", left))
-
-
-def name_parts(name: str) -> list[str]:
-    return [p for p in re.split(r"(?<=[a-z0-9])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])|[^A-Za-z0-9]+", name) if p]
-
-
-@F.pandas_udf(T.BooleanType())
-def _trivial(documentation: pd.Series, name: pd.Series) -> pd.Series:
-    return pd.Series([trivial(a, b) for a, b in zip(documentation, name)], dtype=bool)
-
-
-@F.pandas_udf(T.StringType())
-def _described(documentation: pd.Series) -> pd.Series:
-    return documentation.map(_plain_comment)
-
-
-def documented(files: DataFrame) -> DataFrame:
-    """``file_id, language, name, start_line, documentation`` of the functions whose documentation says something.
-
-    Files that don't parse, of unknown extension, empty or null give no rows; two functions of one name on one line are
-    one row. Lines count from 0.
-    """
-    rows = definitions(token_rows(files))
-    kept = rows.where(~_trivial("documentation", "name")).withColumn("documentation", _described("documentation"))
-    return kept.dropDuplicates(["file_id", "name", "start_line"])
-
-
-def pairs(files: DataFrame) -> DataFrame:
-    """Code and description: a documented function with the text of its lines. A function ends before the next line that
-    isn't indented deeper than its first (a closing bracket there belongs to it)."""
-    once = first_delivery(files.select("file_id", "parsed_at", "content"), "file_id", ["parsed_at"])
-    found = documented(files).join(once.select("file_id", "content"), "file_id")
-    return found.select("file_id", "language", "name", "start_line", "documentation", _snippet("content", "start_line").alias("code"))
-
-
-@F.pandas_udf(T.StringType())
-def _snippet(content: pd.Series, start: pd.Series) -> pd.Series:
-    out = []
-    for text, at in zip(content, start):
-        lines = re.split(r"\r\n|\n|\r", text)
-        indent = len(lines[at]) - len(lines[at].lstrip())
-        end = at + 1
-        while end < len(lines) and (not lines[end].strip() or len(lines[end]) - len(lines[end].lstrip()) > indent or lines[end].lstrip()[:1] in "})]{"):
-            end += 1
-            if lines[end - 1].strip() and lines[end - 1].lstrip()[:1] == "}" and len(lines[end - 1]) - len(lines[end - 1].lstrip()) <= indent:
-                break
-        out.append("\n".join(lines[at:end]).rstrip())
-    return pd.Series(out)

@@ -1,6 +1,7 @@
 import pytest
 
 from quarryline.llm import grammars as G
+from quarryline.llm import documented as D
 from quarryline.llm import sources as S
 
 VALID = {
@@ -34,7 +35,7 @@ def test_checked(spark):
     got = {r.file_id: r for r in S.checked(df.unionByName(df)).collect()}
     assert len(got) == 7
     assert [got[i].valid for i in range(7)] == [False, False, True, None, True, False, None]
-    assert got[1].fault == "wrong extension" and got[1].accepted_by == "java" and got[0].fault == "truncated"
+    assert got[1].fault == "wrong extension" and got[1].accepted_by == ["java"] and got[0].fault == "truncated"
     errors = spark.createDataFrame([(1, "r", "s", ".\\a.py"), (2, "r", "s", "/home/x/r/c.go"), (3, "r", "s", None)], "error_id long, repository_id string, commit_sha string, file_path string").selectExpr("*", "timestamp('2024-01-01') as logged_at")
     rate = {r.language: r for r in S.rates(df, errors).collect()}
     assert (rate["python"].failing, rate["python"].logged, rate["go"].wrongly_logged) == (1, 1, 1)
@@ -55,19 +56,19 @@ DOCUMENTED = [
 def test_documented(spark):
     df = files(spark, *[(p, c) for p, c, _ in DOCUMENTED])
     got: dict[int, set] = {}
-    for r in S.documented(df.unionByName(df)).collect():
+    for r in D.documented(df.unionByName(df)).collect():
         got.setdefault(r.file_id, set()).add((r.name, r.start_line))
     for i, (path, _, want) in enumerate(DOCUMENTED):
         assert got.get(i, set()) == want, path
-    code = {r.name: r.code for r in S.pairs(df).collect()}
-    assert code["wait_all"].startswith("wait_all(int a)") and code["use"].endswith("}")
+    code = {r.name: r.code for r in D.pairs(df).collect()}
+    assert code["wait_all"].startswith("static int\nwait_all(int a)") and code["use"].endswith("}")
 
 
 @pytest.mark.parametrize("text", ["", "...", "TODO", "Parses the row.", "parse_row()", "The parse_row method.", "Args:\n    a:\nReturns:", "/** @return */", "See base class.", "{@inheritDoc}", ":param a:\n:return:", "Description goes here.", "N/A", "parseRow function", "todo: write a description of this some day"])
 def test_trivial(text):
-    assert S.trivial(text, "parse_row")
+    assert D.trivial(text, "parse_row")
 
 
 @pytest.mark.parametrize("text", ["Parses the row from disk.", "Idempotent.", "Not thread-safe.", "Args:\n    a: the row to use", "@param a the row to use", "Liefert die Zeile.", "Parse row. TODO: handle nulls as well.", "O(n)", "行を返す"])
 def test_not_trivial(text):
-    assert not S.trivial(text, "parse_row")
+    assert not D.trivial(text, "parse_row")
