@@ -84,6 +84,40 @@ def test_drift_kinds(spark):
     named = {c for c in table[1, -1].asDict() if c in ("query", "prompt")}
     assert len(named) == 1 and table[1, -1][named.pop()] == "text 0"
     assert table[1, 0]["primary_candidates__file_path"] == "f"
+    assert table[1, -1]["n"] == 0.0 or table[1, -1]["n"] == "0"
+
+
+def test_flooding_decides_by_what_objects_contain(spark):
+    # the moved object's value changes as a whole and its name is unlike; only the fields inside it agree
+    old = [{"query_id": f"q{i}", "meta": {"owner": f"o{i}", "place": f"p{i}", "rev": i}, "keep": i} for i in range(5)]
+    new = [{"query_id": f"q{i}", "origin": {"owner": f"o{i}", "place": f"p{i}", "rev": i + 1}, "metal": {"x": [i]}, "keep": i} for i in range(5)]
+    df = lines(spark, [("s", "1", 1, old), ("s", "2", 2, new)])
+    got = {(r.change_kind, r.field_path, r.previous_path) for r in schema_drift.changes(df).collect()}
+    assert got == {("renamed", "origin", "meta"), ("added", "metal", "")}
+    all_cells = schema_drift.cells(df)
+    at = schema_drift.steps(df)
+    nodes = [r.asDict() for r in schema_drift._correspondences(at, all_cells, schema_drift._analysis(at, all_cells)).collect()]
+    start = {n["new"]: 0.2 * n["name"] + 0.8 * n["agreement"] for n in nodes if n["old"] == "meta"}
+    end = {n["new"]: s for n, s in zip(nodes, schema_drift.flooded(nodes)) if n["old"] == "meta"}
+    assert max(start, key=start.get) == "metal" and max(end, key=end.get) == "origin"
+
+
+def test_table_keeps_every_value(spark):
+    files = [
+        ("s", "1", 1, [{"query_id": f"q{i}", "a": f"v{i}", "b": i, "primary_candidates": [{"x": [f"{i}", "y"], "z": f"z{i}"}]} for i in range(4)]),
+        ("s", "2", 2, [{"query_id": f"q{i}", "c": f"v{i}", "b": i, "a": f"fresh{i}", "primary_candidates": {"k": [f"{i}", "y"], "x": None, "z": f"z{i}"}} for i in range(4)]),
+        ("t", "3", 1, [{"query_id": f"q{i}", "c": f"w{i}", "b": "many", "d": {"e": i}} for i in range(4)]),
+        ("t", "4", 2, [{"query_id": f"q{i}", "a": f"w{i}", "c": True, "b": i} for i in range(4)]),
+        (None, "5", 1, [{"query_id": None, "a": "lone"}]),
+    ]
+    df = lines(spark, files)
+    table = schema_drift.unified(df.withColumn("column", schema_drift.F.lit("clash")).unionByName(df.withColumn("column", schema_drift.F.lit("clash"))))
+    fixed = ("line_id", "series", "source_file", "query_id", "item", "uncast")
+    kept = sum(sum(v is not None for k, v in r.asDict().items() if k not in fixed) + len(r.uncast) for r in table.collect())
+    cells = schema_drift.cells(df).where("depth = 0 and value is not null and series is not null").count()
+    assert kept == cells and dict(table.dtypes)["b"] == "double"
+    rows = {(r.line_id, r["item"]): r for r in table.collect()}
+    assert rows[9, -1].uncast == {"b": '"many"'}
 
 
 def test_drift_empty(spark):
