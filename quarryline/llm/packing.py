@@ -8,7 +8,7 @@ themselves are ranked and joined with the runs' placements once, at the end.
 
 Per octave of sizes from the largest down, a sweep sorts units and open gaps by size; every unit seeks the next larger gap,
 conflicts are settled by rank, and the gaps shrink. Sweeps repeat until no unit fits any open gap; only then do the largest
-open as few containers as could do, and the sweeps go on.
+open as few containers as could do, and the sweeps go on; what then still waits is laid into containers end to end.
 """
 
 from __future__ import annotations
@@ -36,17 +36,31 @@ def pieces(sizes: DataFrame, containers: DataFrame) -> DataFrame:
     return rows.select("kind", "capacity", "doc_id", "piece", held.alias("tokens")).withColumn("whole", F.col("tokens") == F.col("capacity"))
 
 
-def _joined(runs: DataFrame) -> DataFrame:
-    """Runs that continue each other become one."""
-    own = Window.partitionBy("what", "kind", "value", "run").orderBy("at", "start")
-    shift = F.col("at") - F.coalesce("start", F.lit(0))
-    follows = (F.lag(F.col("at") + F.col("n")).over(own) == F.col("at")) & (F.lag(shift).over(own) == shift)
-    islands = runs.withColumn("_new", F.when(F.coalesce(follows, F.lit(False)), 0).otherwise(1)).withColumn("_island", F.sum("_new").over(own))
-    return islands.groupBy("what", "kind", "capacity", "value", "run", "_island").agg(F.min("at").alias("at"), F.sum("n").alias("n"), F.min("start").alias("start")).drop("_island").select(*_names())
-
-
-def _names() -> list[str]:
-    return [c.split()[0] for c in _RUNS.split(", ")]
+# One statement, so it is analysed once a sweep. At equal sizes the gap comes first, as "gap" sorts before "unit".
+_SWEEP = """
+WITH leveled AS (
+  SELECT *, sum(if(what = 'gap', n, -n)) OVER (PARTITION BY kind ORDER BY value DESC, what, run, at ROWS UNBOUNDED PRECEDING) - if(what = 'gap', n, 0L) AS low FROM {runs}),
+ends AS (
+  SELECT kind, point, lead(point) OVER (PARTITION BY kind ORDER BY point) - point AS length
+  FROM (SELECT DISTINCT kind, explode(array(low, low + n)) AS point FROM leveled)),
+parts AS (
+  SELECT l.what, l.kind, l.capacity, l.value, l.run, l.at + e.point - l.low AS at, e.point, e.length
+  FROM leveled l JOIN ends e ON l.kind = e.kind AND e.point >= l.low AND e.point < l.low + l.n WHERE e.length > 0),
+beside AS (
+  SELECT *, lag(struct(what, run, at)) OVER place AS before, lead(struct(what, value)) OVER place AS next FROM parts
+  WINDOW place AS (PARTITION BY kind, point ORDER BY value DESC, what, run, at)),
+after AS (
+  SELECT if(what = 'unit' AND before.what = 'gap', 'placed', what) AS what, kind, capacity,
+    int(if(what = 'gap' AND next.what = 'unit', value - next.value, value)) AS value,
+    CASE WHEN what = 'gap' THEN run WHEN before.what = 'gap' THEN before.run END AS run,
+    at, length AS n, if(what = 'unit' AND before.what = 'gap', before.at, NULL) AS start FROM beside),
+marked AS (
+  SELECT *, if(lag(at + n) OVER own = at AND lag(at - coalesce(start, 0L)) OVER own = at - coalesce(start, 0L), 0, 1) AS fresh
+  FROM after WHERE value > 0 WINDOW own AS (PARTITION BY kind, what, value, run ORDER BY at, start)),
+islands AS (
+  SELECT *, sum(fresh) OVER (PARTITION BY kind, what, value, run ORDER BY at, start ROWS UNBOUNDED PRECEDING) AS island FROM marked)
+SELECT what, kind, capacity, value, run, min(at) AS at, sum(n) AS n, min(start) AS start FROM islands GROUP BY kind, what, capacity, value, run, island
+"""
 
 
 def _swept(runs: DataFrame) -> DataFrame:
@@ -54,27 +68,9 @@ def _swept(runs: DataFrame) -> DataFrame:
 
     That is how brackets match: gaps open, units close. The count of gaps less units before a run gives the levels that the
     run covers; the levels are cut where any run begins or ends, and on each stretch a unit's gap is the run right before it.
+    Runs that continue each other become one again. All of it is partitioned by kind, as ``runs`` are.
     """
-    order = [F.desc("value"), F.col("what"), F.col("run"), F.col("at")]  # at equal sizes the gap comes first
-    sign = F.when(F.col("what") == "gap", F.col("n")).otherwise(-F.col("n"))
-    upto = Window.partitionBy("kind").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    leveled = runs.withColumn("_after", F.sum(sign).over(upto)).withColumn("low", F.when(F.col("what") == "gap", F.col("_after") - F.col("n")).otherwise(F.col("_after"))).drop("_after")
-    ends = leveled.select("kind", F.explode(F.array(F.col("low"), F.col("low") + F.col("n"))).alias("point")).distinct()
-    ends = ends.withColumn("length", F.lead("point").over(Window.partitionBy("kind").orderBy("point")) - F.col("point")).where("length > 0")
-    parts = leveled.join(ends, "kind").where((F.col("point") >= F.col("low")) & (F.col("point") < F.col("low") + F.col("n")))
-    parts = parts.withColumn("at", F.col("at") + F.col("point") - F.col("low"))
-    at_level = Window.partitionBy("kind", "point").orderBy(*order)
-    for name in ("what", "value", "run", "at"):
-        parts = parts.withColumn(f"_{name}", F.lag(name).over(at_level))
-    parts = parts.withColumn("next", F.lead("what").over(at_level)).withColumn("taken", F.lead("value").over(at_level))
-    unit, matched = F.col("what") == "unit", F.col("_what") == "gap"
-    left = F.col("value") - F.when(F.col("next") == "unit", F.col("taken")).otherwise(0)
-    after = parts.select(
-        F.when(unit & matched, "placed").otherwise(F.col("what")).alias("what"), "kind", "capacity",
-        F.when(unit, F.col("value")).otherwise(left).cast("int").alias("value"), F.when(unit, F.col("_run")).otherwise(F.col("run")).alias("run"),
-        "at", F.col("length").alias("n"), F.when(unit & matched, F.col("_at")).alias("start"),
-    ).withColumn("run", F.when(F.col("what") != "unit", F.col("run")))
-    return _joined(after.where("what <> 'gap' or value > 0"))
+    return runs.sparkSession.sql(_SWEEP, runs=runs)
 
 
 def _opened(runs: DataFrame, step: str, most: int | None) -> DataFrame:
@@ -96,10 +92,34 @@ def _opened(runs: DataFrame, step: str, most: int | None) -> DataFrame:
     return made.where("n > 0 and value > 0").unionByName(runs.where("what = 'gap'"))
 
 
+def _reopened(runs: DataFrame, step: str) -> DataFrame:
+    """Opens containers for all units that still wait: as many of a size as a container holds share one; what is left of each
+    size, fewer units than that, is laid end to end and cut by containers. Units on a cut wait."""
+    units = runs.where("what = 'unit'").withColumn("_q", F.floor(F.col("capacity") / F.col("value"))).withColumn("_bins", F.floor(F.col("n") / F.col("_q")))
+    none, zero = F.lit(None).cast("long"), F.lit(0).cast("long")
+    name = F.concat_ws(".", F.lit(step), F.col("value").cast("string"), F.col("at").cast("string"))
+    shared = F.when(F.col("_bins") > 0, F.transform(F.sequence(F.lit(0), F.col("_q") - 1), lambda i: F.struct(F.lit("placed").alias("what"), F.col("value"), name.alias("run"), (F.col("at") + i * F.col("_bins")).alias("at"), F.col("_bins").alias("n"), zero.alias("start"))))
+    gap = F.when(F.col("_bins") > 0, F.array(F.struct(F.lit("gap").alias("what"), (F.col("capacity") - F.col("_q") * F.col("value")).cast("int").alias("value"), name.alias("run"), zero.alias("at"), F.col("_bins").alias("n"), none.alias("start"))))
+    empty = F.array().cast("array<struct<what:string,value:int,run:string,at:bigint,n:bigint,start:bigint>>")
+    full = units.select("kind", "capacity", F.explode(F.concat(F.coalesce(shared, empty), F.coalesce(gap, empty))).alias("x"))
+    rest = units.withColumn("_left", F.col("n") - F.col("_bins") * F.col("_q")).where("_left > 0").withColumn("at", F.explode(F.sequence(F.col("at") + F.col("_bins") * F.col("_q"), F.col("at") + F.col("n") - 1)))
+    before = Window.partitionBy("kind").orderBy(F.desc("value"), "at").rowsBetween(Window.unboundedPreceding, -1)
+    rest = rest.withColumn("_from", F.coalesce(F.sum("value").over(before), F.lit(0))).withColumn("start", F.floor(F.col("_from") / F.col("capacity")))
+    rest = rest.withColumn("_fits", F.floor((F.col("_from") + F.col("value") - 1) / F.col("capacity")) == F.col("start"))
+    held = F.sum(F.when(F.col("_fits"), F.col("value")).otherwise(0)).over(Window.partitionBy("kind", "start"))
+    rest = rest.withColumn("_room", (F.col("capacity") - held).cast("int")).withColumn("_first", F.row_number().over(Window.partitionBy("kind", "start").orderBy(F.desc("_fits"), F.desc("value"), "at")) == 1)
+    one, row = F.lit(1).cast("long"), F.lit(f"{step}.rest")
+    unit = F.struct(F.when(F.col("_fits"), "placed").otherwise("unit").alias("what"), F.col("value"), F.when(F.col("_fits"), row).alias("run"), F.col("at"), one.alias("n"), F.when(F.col("_fits"), F.col("start")).alias("start"))
+    room = F.struct(F.lit("gap").alias("what"), F.col("_room").alias("value"), row.alias("run"), F.col("start").alias("at"), one.alias("n"), none.alias("start"))
+    laid = rest.select("kind", "capacity", F.explode(F.when(F.col("_first") & F.col("_fits"), F.array(unit, room)).otherwise(F.array(unit))).alias("x"))
+    made = full.unionByName(laid).select("x.what", "kind", "capacity", "x.value", "x.run", "x.at", "x.n", "x.start").where("value > 0")
+    return made.unionByName(runs.where("what = 'gap'"))
+
+
 def _standing(state: DataFrame) -> tuple[bool, bool]:
     """Whether units wait, and whether one of them fits an open gap. One row per kind goes to the driver."""
     unit, gap = F.col("what") == "unit", F.col("what") == "gap"
-    kinds = state.groupBy("kind").agg(F.min(F.when(unit, F.col("value"))).alias("least"), F.max(F.when(gap, F.col("value"))).alias("most")).collect()
+    kinds = state.coalesce(1).groupBy("kind").agg(F.min(F.when(unit, F.col("value"))).alias("least"), F.max(F.when(gap, F.col("value"))).alias("most")).collect()
     return any(r.least is not None for r in kinds), any(r.least is not None and r.most is not None and r.least <= r.most for r in kinds)
 
 
@@ -107,6 +127,7 @@ def placements(sizes: DataFrame) -> DataFrame:
     """``kind, value, at, n, run, start``: the units of a size with ranks from ``at`` go, one each, into the ``n`` containers
     of ``run`` from number ``start``. ``sizes`` has ``kind, capacity, value, n``, one row a size."""
     spark = sizes.sparkSession
+    kinds = max(1, sizes.select("kind").distinct().count())
     state = spark.createDataFrame([], _RUNS)
     parts: list[DataFrame] = []
     for octave in range(OCTAVES):
@@ -119,10 +140,12 @@ def placements(sizes: DataFrame) -> DataFrame:
         openings = 0
         waiting, fits = _standing(state)
         while waiting:
+            state = state.repartition(kinds, "kind")  # the one shuffle of a sweep
             if fits:
                 made = cut(_swept(state))
             else:
-                made = cut(_opened(state, f"{octave}.{openings}", None if last else 2 ** (octave + 1) - 1))
+                step = f"{octave}.{openings}"
+                made = cut(_reopened(state, step) if openings else _opened(state, step, None if last else 2 ** (octave + 1) - 1))
                 openings += 1
             parts.append(made.where("what = 'placed'"))
             state = made.where("what <> 'placed'")
