@@ -68,9 +68,7 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    documents = table(spark, sf_dir, "documents")
-    model = subjects.train(documents, table(spark, sf_dir, "subject_labels"), table(spark, sf_dir, "subjects"))
-    return subjects.assigned(documents, model)
+    return subjects.assigned(table(spark, sf_dir, "documents"), table(spark, sf_dir, "subject_labels"), table(spark, sf_dir, "subjects"))
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:

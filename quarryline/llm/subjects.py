@@ -1,9 +1,10 @@
 """The subjects of each document (p9): one-versus-rest linear classifiers over hashed word n-grams of sentences.
 
-Training takes a bounded sample (``SAMPLE_LABELLED`` labelled and ``SAMPLE_OTHER`` other documents, chosen by a hash of their
-id). The human judgments of a document are weak labels of all its sentences; the classifiers' own judgments of whole
-documents, then of single sentences, replace them in further rounds. Thresholds are calibrated against the human labels.
-Every document of the corpus is then judged: a subject holds if at least two sentences score above its threshold.
+The words that form n-grams, and those that mend misspelt ones, are counted over all documents. Fitting takes a bounded sample
+(``SAMPLE_LABELLED`` labelled documents, chosen by a hash of their id). The human judgments of a document are weak labels of
+all its sentences; the classifiers' own judgments of whole documents, then of single sentences, replace them in further rounds.
+Every document of the corpus is then scored once: a subject's score is that of the document's second best sentence, as a subject
+holds if at least two sentences deal with it. Thresholds are calibrated over all labelled documents.
 """
 
 from __future__ import annotations
@@ -23,7 +24,9 @@ from quarryline.llm.overlap import Speller
 from quarryline.session import cut, first_delivery
 
 WIDTH = 1 << 18
-SAMPLE_LABELLED, SAMPLE_OTHER = 2000, 1000
+SAMPLE_LABELLED = 3000
+GRID = (-1.0, -0.5, 0.0, 0.5, 1.0)  # thresholds tried
+WORD_SHARE = 4e-5  # of all words; a word below it forms no n-gram, so at most 1 / WORD_SHARE words do
 FALLBACK = "software"
 LEAST_SENTENCES = 2
 
@@ -176,14 +179,13 @@ def _fit(rows: np.ndarray, grams: np.ndarray, y: np.ndarray, share: np.ndarray,
 
 
 # Rounds of training: where the labels come from, and how strongly weights are held back.
-ROUNDS = (("human", 1.5), ("document", 1.0), ("sentence", 0.5), ("sentence", 0.2))
-UNLABELLED = 0.05
+ROUNDS = (("document", 1.2), ("sentence", 0.5), ("sentence", 0.2))
 TASKS = 4  # each trains a share of the subjects
 _CHUNK = "docs array<long>, human array<int>, rows array<int>, grams array<int>"
 
 
 def _unpacked(chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of a chunk: document and human labels (bits, -1 for none) of each sentence, sentence of each n-gram, n-grams."""
+    """Of a chunk: document and human labels (bits) of each sentence, sentence of each n-gram, n-grams."""
     return np.asarray(chunk.docs), np.asarray(chunk.human, int), np.asarray(chunk.rows, int), np.asarray(chunk.grams, int)
 
 
@@ -203,20 +205,14 @@ def _scored(chunk, weights: Weights) -> np.ndarray:
 
 
 def _weak_labels(chunk, level: str, weights: Weights) -> tuple[np.ndarray, np.ndarray]:
-    """(how much a sentence weighs, for which subjects it counts as positive). Sentences of documents without human labels
-    weigh little in the first round, as negatives: what stands everywhere then speaks for no subject."""
+    """(how much a sentence weighs, for which subjects it counts as positive)."""
     docs, human, _, _ = _unpacked(chunk)
-    known = human >= 0
-    given = ((human[:, None] >> np.arange(len(weights.biases))) & 1 == 1) & known[:, None]
-    if level == "human":
-        return np.where(known, 1.0, UNLABELLED), given
+    given = (human[:, None] >> np.arange(len(weights.biases))) & 1 == 1
+    if level == "document":
+        return np.ones(len(docs)), given
     scores = _scored(chunk, weights)
-    hit = scores > 0
-    if level == "sentence":  # the subject it deals with most
-        return np.ones(len(docs)), hit & (scores >= scores.max(axis=1, keepdims=True))
-    ids, at = np.unique(docs, return_inverse=True)
-    count = np.stack([np.bincount(at, h, minlength=len(ids)) for h in hit.T], axis=1)
-    return np.ones(len(docs)), np.where(known[:, None], given, (count >= LEAST_SENTENCES)[at])
+    # the subject it deals with most
+    return np.ones(len(docs)), (scores > 0) & (scores >= scores.max(axis=1, keepdims=True))
 
 
 def _train(chunks: DataFrame, level: str, ridge: float, subjects: list[str], weights: Weights) -> Weights:
@@ -279,11 +275,10 @@ class Weights:
 
 
 class Model:
-    """Weights by hashed n-gram, thresholds by subject and the spelling of the sample's words."""
+    """Weights by hashed n-gram, and the spelling of the corpus's frequent words."""
 
     def __init__(self, subjects: list[str], weights: Weights, frequent: dict[str, int]):
         self.subjects, self.weights, self.frequent = subjects, weights, frequent
-        self.thresholds = np.zeros(len(subjects))
         self._vocabulary: Vocabulary | None = None
         self._memo: dict = {}
 
@@ -297,96 +292,94 @@ class Model:
         owner, starts, numbers = _numbered(texts, self._vocabulary)
         return (owner, *_gram_columns(starts, numbers, self._vocabulary, self._memo))
 
-    def judge(self, texts) -> list[list[str]]:
-        """The subjects of each text; ``FALLBACK`` for a text of none, nothing for a blank text."""
+    def scores(self, texts) -> tuple[np.ndarray, np.ndarray]:
+        """(whether a text has any word, a row per text with each subject's score of its second best sentence)."""
         owner, rows, grams = self.columns(texts)
-        hit = _summed(rows, grams, len(owner), self.weights) > self.thresholds
-        counts = np.stack([np.bincount(owner, h, minlength=len(texts)) for h in hit.T], axis=1)
-        some = np.bincount(owner, minlength=len(texts)) > 0
-        return [([s for s, n in zip(self.subjects, c) if n >= LEAST_SENTENCES] or [FALLBACK]) if w else [] for c, w in zip(counts, some)]
+        by_sentence = _summed(rows, grams, len(owner), self.weights)
+        starts = np.searchsorted(owner, np.arange(len(texts)))
+        ends = np.searchsorted(owner, np.arange(len(texts)), side="right")
+        out = np.full((len(texts), len(self.subjects)), -99.0, np.float32)
+        several = np.flatnonzero(ends - starts >= LEAST_SENTENCES)
+        for i in several.tolist():
+            out[i] = np.partition(by_sentence[starts[i] : ends[i]], -LEAST_SENTENCES, axis=0)[-LEAST_SENTENCES]
+        return ends > starts, out
 
 
-def train(documents: DataFrame, labels: DataFrame, subject_table: DataFrame) -> Model:
-    """Fits and calibrates the model. Without labels every document with text gets ``FALLBACK``."""
-    subjects = sorted({r[0] for r in subject_table.where("subject is not null").select(tidy_subject(F.col("subject"))).collect()})  # fixed, one row a subject
-    others = [s for s in subjects if s != FALLBACK]
-    human = judged(labels, subjects)
-    order = F.xxhash64(F.lit(7), "doc_id")
-    ids = documents.select("doc_id").where("doc_id is not null").distinct()
-    # the sampled ids are as few as the bounds, whatever the corpus holds
-    chosen_human = human.join(ids, "doc_id", "left_semi").orderBy(order).limit(SAMPLE_LABELLED)
-    chosen_other = ids.join(human, "doc_id", "left_anti").orderBy(order).limit(SAMPLE_OTHER).withColumn("subjects", F.lit(None).cast("array<string>"))
-    chosen = cut(chosen_human.select("doc_id", "subjects").unionByName(chosen_other))
-    texts = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    bits = {s: 1 << i for i, s in enumerate(others)}
+def frequent_words(documents: DataFrame) -> dict[str, int]:
+    """How often each word stands in the corpus, of those that make up at least ``WORD_SHARE`` of all its words."""
+    raw = documents.select(F.explode(F.regexp_extract_all("text", F.lit(r"[\p{L}\p{N}]+"), F.lit(0))).alias("w")).groupBy("w").agg(F.count("*").alias("n"))
 
-    def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def plain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = []
-            for d, t, s in zip(batch.doc_id, batch.text, batch.subjects):
-                said = [" ".join(w) for w in sentences(t)]
-                if said:
-                    rows.append((d, -1 if s is None else sum(bits.get(x, 0) for x in s), said))
-            yield pd.DataFrame(rows, columns=["doc_id", "human", "said"])
-
-    rows = cut(texts.mapInPandas(split, "doc_id long, human int, said array<string>").repartition(12, "doc_id"))
-    said = rows.select(F.explode("said").alias("s"))
-    counts = said.select(F.explode(F.array_distinct(F.split("s", " "))).alias("w")).groupBy("w").agg(F.count("*").alias("n"))
-    total = rows.agg(F.sum(F.size("said"))).first()[0] or 0
-    frequent = {r["w"]: r["n"] for r in counts.where(F.col("n") >= max(3, 0.0004 * total)).collect()}  # words of the bounded sample
+            rows = [(_plain(p), n) for w, n in zip(batch.w, batch.n) for p in _HUMP.split(w)]
+            yield pd.DataFrame(rows, columns=["w", "n"])
+
+    counts = cut(raw.mapInPandas(plain, "w string, n long").groupBy("w").agg(F.sum("n").alias("n")))
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    return {r["w"]: r["n"] for r in counts.where(F.col("n") >= max(3, WORD_SHARE * total)).collect()}
+
+
+def train(documents: DataFrame, human: DataFrame, others: list[str]) -> Model:
+    """Fits the classifiers of the subjects ``others`` on the sample of the documents in ``human`` (``doc_id, subjects``)."""
+    frequent = frequent_words(documents)
+    ids = documents.select("doc_id").where("doc_id is not null").distinct()
+    # the sampled ids are as few as the bound, whatever the corpus holds
+    chosen = cut(human.join(ids, "doc_id", "left_semi").orderBy(F.xxhash64(F.lit(7), "doc_id")).limit(SAMPLE_LABELLED))
+    rows = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").repartition(12, "doc_id")
+    bits = {s: 1 << i for i, s in enumerate(others)}
     model = Model(others, Weights.none(len(others)), frequent)
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            owner, found, grams = model.columns(["\n".join(said) for said in batch.said])
-            yield pd.DataFrame({"docs": [batch.doc_id.to_numpy()[owner]], "human": [batch.human.to_numpy()[owner]], "rows": [found], "grams": [grams]})
+            owner, found, grams = model.columns(batch.text.tolist())
+            labels = np.array([sum(bits.get(x, 0) for x in s) for s in batch.subjects], int)
+            yield pd.DataFrame({"docs": [batch.doc_id.to_numpy()[owner]], "human": [labels[owner]], "rows": [found], "grams": [grams]})
 
     chunks = cut(rows.mapInPandas(pack, _CHUNK))
-    if rows.where("human >= 0").isEmpty():
-        return model
     weights = model.weights
-    for level, ridge in ROUNDS:
-        weights = _train(chunks, level, ridge, others, weights)
-    return _calibrated(Model(others, weights, frequent), chunks)
+    if not chunks.where("size(docs) > 0").isEmpty():
+        for level, ridge in ROUNDS:
+            weights = _train(chunks, level, ridge, others, weights)
+    return Model(others, weights, frequent)
 
 
-def _calibrated(model: Model, chunks: DataFrame, grid: tuple[float, ...] = (-1.0, -0.5, 0.0, 0.5, 1.0)) -> Model:
-    """Each subject's threshold with the best F1 against the human labels of the sample; 0 unless another is clearly better."""
-    subjects = model.subjects
-    shared = chunks.sparkSession.sparkContext.broadcast(model.weights)
-
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for chunk in batch.itertuples():
-                docs, human, _, _ = _unpacked(chunk)
-                z, ids = _scored(chunk, shared.value), np.unique(docs[human >= 0], return_inverse=True)
-                for k, subject in enumerate(subjects):
-                    truth = np.bincount(ids[1], (human[human >= 0] >> k) & 1, minlength=len(ids[0])) > 0
-                    for t in grid:
-                        said = np.bincount(ids[1], z[human >= 0, k] > t, minlength=len(ids[0])) >= LEAST_SENTENCES
-                        out.append((subject, t, int((said & truth).sum()), int(said.sum()), int(truth.sum())))
-            yield pd.DataFrame(out, columns=["subject", "threshold", "both", "said", "truth"])
-
-    hits = chunks.mapInPandas(count, "subject string, threshold double, both long, said long, truth long")
-    found: dict[str, dict[float, float]] = {}
-    for r in hits.groupBy("subject", "threshold").sum("both", "said", "truth").collect():  # subjects times the grid
-        found.setdefault(r[0], {})[r[1]] = 2 * r[2] / max(r[3] + r[4], 1)
-    for k, s in enumerate(subjects):
-        scores = found.get(s, {0.0: 0.0})
-        best = max(scores, key=lambda t: (round(scores[t], 2), -abs(t)))
-        model.thresholds[k] = best if scores[best] > scores.get(0.0, 0.0) + 0.02 else 0.0
-    return model
-
-
-def assigned(documents: DataFrame, model: Model) -> DataFrame:
-    """``doc_id, subject`` for every document with text; null and blank texts have none. Texts stay where they are read:
-    nothing but the model (a table of fixed width) moves."""
+def scored(documents: DataFrame, model: Model) -> DataFrame:
+    """``doc_id, some, scores`` of every document: whether it has a word, and each subject's score. Texts stay where they are
+    read: nothing but the model (a table of fixed width) moves."""
     shared = documents.sparkSession.sparkContext.broadcast(model)
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [(d, s) for d, found in zip(batch.doc_id, shared.value.judge(batch.text.tolist())) for s in found]
-            yield pd.DataFrame(rows, columns=["doc_id", "subject"])
+            some, scores = shared.value.scores(batch.text.tolist())
+            yield pd.DataFrame({"doc_id": batch.doc_id, "some": some, "scores": list(scores)})
+
+    return documents.select("doc_id", "text").where("doc_id is not null and text is not null").mapInPandas(judge, "doc_id long, some boolean, scores array<float>")
+
 
-    return documents.select("doc_id", "text").where("doc_id is not null and text is not null").mapInPandas(judge, "doc_id long, subject string")
+def thresholds(scores: DataFrame, human: DataFrame, others: list[str]) -> dict[str, float]:
+    """Each subject's threshold with the best F1 against the human labels of all labelled documents; 0 unless another is
+    clearly better."""
+    each = scores.join(human, "doc_id").select("subjects", F.posexplode("scores").alias("k", "score"))
+    truth = F.array_contains("subjects", F.element_at(F.array(*map(F.lit, others)), F.col("k") + 1))
+    sums = [F.count_if(F.col("score") > t).alias(f"said_{i}") for i, t in enumerate(GRID)] + [F.count_if((F.col("score") > t) & truth).alias(f"both_{i}") for i, t in enumerate(GRID)]
+    found = {}
+    for r in each.groupBy("k").agg(F.count_if(truth).alias("truth"), *sums).collect():  # one row a subject
+        f1 = {t: 2 * r[f"both_{i}"] / max(r[f"said_{i}"] + r["truth"], 1) for i, t in enumerate(GRID)}
+        best = max(f1, key=lambda t: (round(f1[t], 2), -abs(t)))
+        found[others[r["k"]]] = best if f1[best] > f1[0.0] + 0.02 else 0.0
+    return {s: found.get(s, 0.0) for s in others}
+
+
+def assigned(documents: DataFrame, labels: DataFrame, subject_table: DataFrame) -> DataFrame:
+    """``doc_id, subject`` for every document with text, ``FALLBACK`` where no other subject holds; null and blank texts have
+    none. Without labels every document with text gets ``FALLBACK``; null subjects and labels of unknown ones are left aside."""
+    subjects = sorted({r[0] for r in subject_table.where("subject is not null").select(tidy_subject(F.col("subject"))).collect()})  # fixed, one row a subject
+    others = [s for s in subjects if s != FALLBACK]
+    if not others:
+        return documents.where("doc_id is not null").where(F.col("text").rlike(r"[\p{L}\p{N}]")).select("doc_id", F.lit(FALLBACK).alias("subject"))
+    human = cut(judged(labels, subjects))
+    scores = cut(scored(documents, train(documents, human, others)))
+    limits = thresholds(scores, human, others)
+    held = F.array_compact(F.array(*[F.when(F.col("scores")[i] > F.lit(limits[s]), F.lit(s)) for i, s in enumerate(others)]))
+    final = F.when(F.size(held) > 0, held).otherwise(F.array(F.lit(FALLBACK)))
+    return scores.where("some").select("doc_id", F.explode(final).alias("subject"))

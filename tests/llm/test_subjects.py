@@ -33,18 +33,16 @@ def test_held_out_accuracy(spark):
     labels = [(a, b, rng.choice(["Law", "music"]) if rng.random() < 0.05 else c, d) for a, b, c, d in labels]
     lab = spark.createDataFrame(labels, "label_id long, doc_id long, subject string, labelled_by string").selectExpr("*", "timestamp('2024-01-01') as labelled_at")
     table = spark.createDataFrame([(s, "") for s in [*TERMS, "software"]], "subject string, description string")
-    model = S.train(df, lab.unionByName(lab), table)
     got: dict[int, set] = {}
-    for r in S.assigned(df, model).collect():
+    for r in S.assigned(df, lab.unionByName(lab), table).collect():
         got.setdefault(r.doc_id, set()).add(r.subject)
     held = [i for i in truth if i >= 160]
     right = sum(len(got[i] & truth[i]) for i in held)
     said, want = sum(len(got[i]) for i in held), sum(len(truth[i]) for i in held)
     assert right / said > 0.93 and right / want > 0.93
     assert 900 not in got and 901 not in got and 902 not in got and got[903] == {"software"}
-    plain = S.train(df, lab.limit(0), table)
-    assert {r.subject for r in S.assigned(df, plain).collect()} == {"software"}
-    assert S.assigned(df.limit(0), plain).count() == 0
+    assert {r.subject for r in S.assigned(df, lab.limit(0), table).collect()} == {"software"}
+    assert S.assigned(df.limit(0), lab, table).count() == 0
 
 
 def test_words():
