@@ -50,6 +50,19 @@ def test_nested_equals_brute_force(spark):
     assert len(same) == 1  # equal subtrees share one identity, whatever their place and the order of keys
 
 
+def test_nested_shares_objects_and_takes_the_first_delivery(spark):
+    leaf, wrapped = {"file_path": "x", "why": 1}, {"file_path": "y"}
+    for _ in range(6):
+        wrapped = json.dumps(wrapped)
+    pair = {"file_path": "p", "alternatives": [leaf, leaf]}
+    rows = [(1, json.dumps({"primary_candidates": [pair, pair], "note": {"by": ["a", None]}}), "2024-01-01"), (1, json.dumps({"primary_candidates": []}), "2024-01-02"), (2, json.dumps({"secondary_candidates": [pair, wrapped]}), "2024-01-01")]
+    df = spark.createDataFrame(rows, "draft_id long, payload string, exported_at string")
+    bridge = nested.occurrences(df, "draft_id", "payload", order=("exported_at",))
+    assert {r.file_path: r.occurrences for r in nested.objects(bridge).collect()} == {"p": 3, "x": 6, "y": 1}
+    assert {(r.node_path, r.parent_path) for r in bridge.where("draft_id = 1 and depth = 1").collect()} == {(f"primary_candidates[{i}].alternatives[{j}]", f"primary_candidates[{i}]") for i in (0, 1) for j in (0, 1)}
+    assert {(r.path, r.value) for r in nested.fields(df, "draft_id", "payload", order=("exported_at",)).collect()} == {("note.by[0]", '"a"'), ("note.by[1]", "null")}
+
+
 def test_nested_bad_input(spark):
     bad = drafts(spark, None, "", "[1]", '{"primary_candidates": [', "null", '{"a": 1}')
     assert nested.occurrences(bad, "draft_id", "payload").count() == 0
@@ -57,8 +70,8 @@ def test_nested_bad_input(spark):
     twice = twice.unionByName(twice)
     assert nested.occurrences(twice, "draft_id", "payload").count() == 1
     assert nested.objects(nested.occurrences(twice, "draft_id", "payload")).first().occurrences == 1
-    deep = '{"primary_candidates": [' + '{"alternatives": [' * 400 + "]}" * 400 + "]}"
-    assert nested.occurrences(drafts(spark, deep), "draft_id", "payload").count() == 400
+    deep = '{"primary_candidates": [' + '{"alternatives": [' * 6000 + "]}" * 6000 + "]}"
+    assert nested.occurrences(drafts(spark, deep), "draft_id", "payload").count() == 6000
 
 
 def lines(spark, files):
