@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarryline.session import cut
+from quarryline.session import cut, freed, new_folder
 
 K1, B = 1.5, 0.75
 # Weights of the fields of a symbol.
@@ -53,15 +53,101 @@ def bm25(documents: DataFrame, queries: DataFrame, item: str, query: str, k1: fl
     return weighted.groupBy(query, item).agg(F.sum(F.col("qtf") * weight).alias("score"))
 
 
-def field_search(fields: dict[str, DataFrame], queries: DataFrame, item: str, query: str, weights: dict[str, float] | None = None) -> DataFrame:
+def postings(documents: DataFrame, item: str) -> tuple[DataFrame, int]:
+    """(``item, term, tf, length`` written once, number of documents). Texts are tokenised once for all lists made of it."""
+    tokens = documents.select(F.col(item), F.size("tokens").alias("length"), F.explode("tokens").alias("term"))
+    return cut(tokens.groupBy(item, "length", "term").agg(F.count("*").alias("tf"))), documents.count()
+
+
+def _asked(queries: DataFrame, query: str) -> DataFrame:
+    return queries.select(query, F.explode("tokens").alias("term")).groupBy(query, "term").agg(F.count("*").alias("qtf"))
+
+
+def bm25_weights(found: DataFrame, n: int, terms: DataFrame, item: str, k1: float = K1, b: float = B) -> DataFrame:
+    """``item, term, w``: what a posting adds to the score of a query that has its term once."""
+    total = found.agg(F.sum("tf")).first()[0] or 0  # one number
+    known = found.join(terms, "term", "left_semi")
+    df = known.groupBy("term").agg(F.count("*").alias("df"))
+    idf = F.log((F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
+    w = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.lit(total / max(n, 1) or 1.0)))
+    return known.join(df, "term").select(item, "term", w.alias("w"))
+
+
+def lists(fields: dict[str, DataFrame], asked: DataFrame, item: str, query: str, k: int, query_block: int = 8192, item_block: int = 2_500) -> DataFrame:
+    """``query, item, score, normalised, rank, listed`` and a column per field: each query's ``k`` best items.
+
+    ``fields`` have ``item, term, w`` and ``asked`` has ``query, term, qtf``; a field's score sums ``qtf * w`` over the terms in
+    common, the score sums the fields. ``normalised`` and ``listed`` go over all items that share a term, ties to the lesser
+    item. Items and queries are dealt into blocks of bounded size; a pair of blocks is scored in one task, which keeps ``k``
+    items a query, so neither pairs of rows nor whole lists are shuffled. Terms are told apart by 64-bit hashes.
+    """
+    names = list(fields)
+    weights = reduce(DataFrame.unionByName, [df.select(F.col(item).alias("_id"), F.lit(i).alias("f"), F.xxhash64("term").alias("h"), "w") for i, df in enumerate(fields.values())])
+    weights = cut(weights)
+    down = max(1, math.ceil(weights.select("_id").distinct().count() / item_block))
+    across = max(1, math.ceil(asked.select(query).distinct().count() / query_block))
+    left = asked.select(F.col(query).alias("_id"), F.xxhash64("term").alias("h"), F.col("qtf").cast("double").alias("w"), F.pmod(F.xxhash64(query), F.lit(across)).alias("_q"), F.explode(F.sequence(F.lit(0), F.lit(down - 1))).alias("_i"))
+    right = weights.withColumn("_i", F.pmod(F.xxhash64("_id"), F.lit(down))).withColumn("_q", F.explode(F.sequence(F.lit(0), F.lit(across - 1))))
+
+    def best(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        items, at = np.unique(b["_id"].to_numpy(), return_inverse=True)
+        order = np.argsort(b.h.to_numpy(), kind="stable")
+        hashes, starts = np.unique(b.h.to_numpy()[order], return_index=True)
+        ends = np.append(starts[1:], len(order))
+        keys, w = (at * len(names) + b.f.to_numpy())[order], b.w.to_numpy()[order]
+        for one, rows in a.groupby("_id") if len(items) else ():
+            where = np.searchsorted(hashes, rows.h.to_numpy())
+            met = (where < len(hashes)) & (hashes[np.minimum(where, len(hashes) - 1)] == rows.h.to_numpy())
+            if not met.any():
+                continue
+            spans = [slice(starts[i], ends[i]) for i in where[met]]
+            hit = np.concatenate([keys[s] for s in spans])
+            part = np.concatenate([w[s] * q for s, q in zip(spans, rows.w.to_numpy()[met])])
+            by_field = np.round(np.bincount(hit, part, minlength=len(items) * len(names)).reshape(-1, len(names)), 9)
+            ids = np.unique(hit // len(names))
+            score = np.round(by_field[ids].sum(axis=1), 9)
+            few = ids[score >= np.partition(score, len(score) - k)[len(score) - k]] if len(score) > k else ids
+            total = np.round(by_field[few].sum(axis=1), 9)
+            few = few[np.lexsort((items[few], -total))[:k]]
+            made = pd.DataFrame({"q": one, "i": items[few], "score": np.round(by_field[few].sum(axis=1), 9), "low": score.min(), "high": score.max(), "n": [len(ids)] + [0] * (len(few) - 1)})
+            out.append(made.assign(**{f"f{j}": by_field[few, j] for j in range(len(names))}))
+        columns = ["q", "i", "score", "low", "high", "n", *[f"f{j}" for j in range(len(names))]]
+        return pd.concat(out)[columns] if out else pd.DataFrame({c: [] for c in columns})
+
+    schema = f"q {asked.schema[query].dataType.simpleString()}, i {weights.schema['_id'].dataType.simpleString()}, score double, low double, high double, n long, " + ", ".join(f"f{j} double" for j in range(len(names)))
+    found = left.groupBy("_q", "_i").cogroup(right.groupBy("_q", "_i")).applyInPandas(best, schema)
+    pool = Window.partitionBy("q")  # at most k rows a block of items
+    low, high = F.min("low").over(pool), F.max("high").over(pool)
+    found = found.withColumn("normalised", F.when(low == high, 1.0).otherwise((F.col("score") - low) / F.nullif(high - low, F.lit(0.0)))).withColumn("listed", F.sum("n").over(pool))
+    found = found.withColumn("rank", F.row_number().over(pool.orderBy(F.desc("score"), "i"))).where(F.col("rank") <= k)
+    return found.select(F.col("q").alias(query), F.col("i").alias(item), "score", "normalised", "rank", "listed", *[F.col(f"f{j}").alias(f"_{f}") for j, f in enumerate(names)])
+
+
+def bm25_lists(documents: DataFrame, queries: DataFrame, item: str, query: str, k: int) -> DataFrame:
+    """Each query's ``k`` best documents by BM25, see ``lists``; both sides hold ``tokens``."""
+    asked = _asked(queries, query)
+    found, n = postings(documents, item)
+    return lists({"text": bm25_weights(found, n, asked.select("term").distinct(), item)}, asked, item, query, k)
+
+
+def overlap_lists(found: DataFrame, queries: DataFrame, item: str, query: str, k: int) -> DataFrame:
+    """Each query's ``k`` best documents by the share of its distinct words that they hold; ``found`` are postings."""
+    words = queries.select(query, F.array_distinct("tokens").alias("t")).select(query, F.explode("t").alias("term"), (F.lit(1.0) / F.size("t")).alias("qtf"))
+    return lists({"text": found.join(words.select("term").distinct(), "term", "left_semi").select(item, "term", F.lit(1.0).alias("w"))}, words, item, query, k)
+
+
+def field_search(fields: dict[str, DataFrame], queries: DataFrame, item: str, query: str, k: int, weights: dict[str, float] | None = None) -> DataFrame:
     """BM25 per field, each with its own statistics, summed by weight; ``matched_field`` is the one that gives most, ties in
     the order of the fields."""
-    weights = weights or FIELD_WEIGHTS
-    parts = [bm25(df, queries, item, query).withColumn("field", F.lit(f)).withColumn("score", F.col("score") * weights[f]) for f, df in fields.items()]
-    rows = reduce(DataFrame.unionByName, parts).groupBy(query, item).agg(*[F.sum(F.when(F.col("field") == f, F.round("score", 9)).otherwise(0.0)).alias(f"_{f}") for f in fields])
+    weights, asked = weights or FIELD_WEIGHTS, cut(_asked(queries, query))
+    terms, made = asked.select("term").distinct(), {}
+    for f, df in fields.items():
+        found, n = postings(df, item)
+        made[f] = bm25_weights(found, n, terms, item).withColumn("w", F.col("w") * weights[f])
+    rows = lists(made, asked, item, query, k)
     best = F.greatest(*[F.col(f"_{f}") for f in fields]) if len(fields) > 1 else F.col(f"_{next(iter(fields))}")
-    matched = F.coalesce(*[F.when(F.col(f"_{f}") == best, f) for f in fields])
-    return rows.select(query, item, reduce(lambda a, c: a + c, [F.col(f"_{f}") for f in fields]).alias("score"), matched.alias("matched_field"))
+    return rows.withColumn("matched_field", F.coalesce(*[F.when(F.col(f"_{f}") == best, f) for f in fields]))
 
 
 def cosine_top_k(vectors: DataFrame, queries: DataFrame, item: str, query: str, k: int, query_block: int = 1024, item_block: int = 20_000) -> DataFrame:
@@ -127,21 +213,25 @@ def reached(edges: DataFrame, seeds: DataFrame, depth: int = 3, undirected: bool
     return seen.withColumn("score", 1 / (1 + F.col("distance")))
 
 
-def components(edges: DataFrame, nodes: DataFrame, most: int = 50) -> DataFrame:
+def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """``node, component``: the least node that is connected with it. Labels spread along edges and jump along labels, so
     the rounds grow with the logarithm of the longest path."""
     steps = edges.where("src is not null and dst is not null and src <> dst").select("src", "dst")
     steps = cut(steps.unionByName(steps.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct())
-    at = cut(nodes.where("node is not null").select("node").distinct().withColumn("component", F.col("node")))
-    for _ in range(most):
+    spark = edges.sparkSession
+    at, last = cut(nodes.where("node is not null").select("node").distinct().withColumn("component", F.col("node"))), None
+    while True:
         offers = steps.join(at, steps["dst"] == at["node"]).groupBy("src").agg(F.min("component").alias("offer"))
         pulled = at.join(offers, at["node"] == offers["src"], "left").select("node", "component", F.least("component", F.coalesce("offer", "component")).alias("low"))
         far = at.select(F.col("node").alias("low"), F.col("component").alias("lower"))
-        jumped = cut(pulled.join(far, "low", "left").select("node", F.least("low", F.coalesce("lower", "low")).alias("next"), "component"))
+        path = new_folder(spark)
+        jumped = cut(pulled.join(far, "low", "left").select("node", F.least("low", F.coalesce("lower", "low")).alias("next"), "component"), path)
         at = jumped.select("node", F.col("next").alias("component"))
         if jumped.where("next <> component").isEmpty():
-            break
-    return at
+            return at
+        if last:
+            freed(spark, last)
+        last = path
 
 
 def combined(parts: list[tuple[DataFrame, float]], query: str, item: str) -> DataFrame:

@@ -18,10 +18,10 @@ WEIGHTS = {"lexical": 1.0, "overlap": 0.8}
 def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = _asked(spark, sf_dir).select("record_id", X.search_tokens(F.col("query_text")).alias("tokens"))
     docs = _documents(spark, sf_dir)
-    lexical = R.top_k(R.bm25(docs, asked, "doc_id", "record_id"), "record_id", "doc_id", LISTED)
-    words = asked.select("record_id", F.size(F.array_distinct("tokens")).alias("n"), F.explode(F.array_distinct("tokens")).alias("w"))
-    shared = words.join(docs.select("doc_id", F.explode(F.array_distinct("tokens")).alias("w")), "w").groupBy("record_id", "doc_id", "n").agg((F.count("*") / F.first("n")).alias("score"))
-    overlap = R.top_k(shared.drop("n"), "record_id", "doc_id", LISTED)
+    found, n = R.postings(docs, "doc_id")
+    words = asked.select("record_id", F.explode("tokens").alias("term")).groupBy("record_id", "term").agg(F.count("*").alias("qtf"))
+    lexical = R.lists({"text": R.bm25_weights(found, n, words.select("term").distinct(), "doc_id")}, words, "doc_id", "record_id", LISTED)
+    overlap = R.overlap_lists(found, asked, "doc_id", "record_id", LISTED)
     cols = ["record_id", "doc_id", "rank", "normalised"]
     return lexical.select(*cols, F.lit("lexical").alias("retriever"), F.lit(0).alias("kind_order")).unionByName(overlap.select(*cols, F.lit("overlap").alias("retriever"), F.lit(1).alias("kind_order")))
 

@@ -27,20 +27,24 @@ def _symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = _asked(spark, sf_dir).select("record_id", X.search_tokens(F.col("query_text")).alias("tokens"))
-    found = R.top_k(R.bm25(_documents(spark, sf_dir), asked, "doc_id", "record_id"), "record_id", "doc_id", 10)
+    found = R.bm25_lists(_documents(spark, sf_dir), asked, "doc_id", "record_id", 10)
     return found.select("record_id", "doc_id", F.round("score", 6).alias("score"), F.round("normalised", 6).alias("normalised"), "rank")
 
 
 def field_weighted_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = _symbols(spark, sf_dir)
     asked = _asked(spark, sf_dir).select("record_id", X.expanded(X.search_tokens(F.col("query_text"))).alias("tokens"))
-    spans = s.join(files(spark, sf_dir).select("file_id", "content"), "file_id").select("symbol_id", X.expanded(X.search_tokens(F.make_valid_utf8(X.byte_span(F.col("content"), F.col("start_byte"), F.col("end_byte")).cast("string")))).alias("tokens"))
+    # a file's spans are gathered first, so its content is read once and never shuffled per symbol
+    own = s.groupBy("file_id").agg(F.collect_list(F.struct("symbol_id", "start_byte", "end_byte")).alias("spans"))
+    cuts = F.transform("spans", lambda x: F.struct(x["symbol_id"].alias("symbol_id"), F.make_valid_utf8(X.byte_span(F.col("content"), x["start_byte"], x["end_byte"]).cast("string")).alias("span")))
+    spans = files(spark, sf_dir).select("file_id", "content").join(own, "file_id").select(F.explode(cuts).alias("x"))
+    spans = spans.select("x.symbol_id", X.expanded(X.search_tokens(F.col("x.span"))).alias("tokens"))
     fields = {
         "name": s.select("symbol_id", X.expanded(X.search_tokens(F.col("name"))).alias("tokens")),
         "docstring": s.where("docstring is not null").select("symbol_id", X.expanded(X.search_tokens(F.col("docstring"))).alias("tokens")),
         "source": spans,
     }
-    found = R.top_k(R.field_search(fields, asked, "symbol_id", "record_id"), "record_id", "symbol_id", 10)
+    found = R.field_search(fields, asked, "symbol_id", "record_id", 10)
     return found.select("record_id", "symbol_id", F.round("score", 5).alias("score"), "matched_field", "rank")
 
 

@@ -39,17 +39,31 @@ def shared_folder(spark: SparkSession) -> str:
     return _own_folder[0]
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cuts the lineage: writes a compressed table to the shared folder and reads it back, so any executor can be lost
-    and the planner sees true sizes. The table goes when the application ends."""
-    spark = df.sparkSession
+def new_folder(spark: SparkSession) -> str:
+    """A folder of its own in the shared folder; it goes when the application ends."""
     path = f"{shared_folder(spark).rstrip('/')}/cut-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).deleteOnExit(at)
+    files = at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    files.mkdirs(at)
+    files.deleteOnExit(at)
+    return path
+
+
+def cut(df: DataFrame, path: str | None = None) -> DataFrame:
+    """Cuts the lineage: writes a compressed table to the shared folder and reads it back, so any executor can be lost
+    and the planner sees true sizes. The table goes when the application ends, or with its folder if ``path`` is given."""
+    spark = df.sparkSession
+    path = path or new_folder(spark)
+    df.write.mode("append").option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def freed(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of cut tables that nothing reads any more."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+
+
 def first_delivery(df: DataFrame, key: str, order: list[str] | None = None) -> DataFrame:
     """One row per non-null key: the earliest by ``order``, ties broken by the other scalar columns, so that the choice
     is deterministic. Aggregates map-side, so a key that is delivered very often doesn't gather in one task."""
