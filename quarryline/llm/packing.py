@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarryline.llm.sizes import sized
-from quarryline.session import cut, running_start
+from quarryline.session import cut, new_folder, running_start
 
 OCTAVES = 4
 BUCKETS = 256
@@ -129,7 +129,7 @@ def placements(sizes: DataFrame) -> DataFrame:
     spark = sizes.sparkSession
     kinds = max(1, sizes.select("kind").distinct().count())
     state = spark.createDataFrame([], _RUNS)
-    parts: list[DataFrame] = []
+    folder, parts = new_folder(spark), 0
     for octave in range(OCTAVES):
         last = octave == OCTAVES - 1
         own = F.col("value") <= F.col("capacity") / 2**octave
@@ -142,18 +142,16 @@ def placements(sizes: DataFrame) -> DataFrame:
         while waiting:
             state = state.repartition(kinds, "kind")  # the one shuffle of a sweep
             if fits:
-                made = cut(_swept(state))
+                made = _swept(state)
             else:
                 step = f"{octave}.{openings}"
-                made = cut(_reopened(state, step) if openings else _opened(state, step, None if last else 2 ** (octave + 1) - 1))
+                made = _reopened(state, step) if openings else _opened(state, step, None if last else 2 ** (octave + 1) - 1)
                 openings += 1
-            parts.append(made.where("what = 'placed'"))
+            made, parts = cut(made, f"{folder}/{parts:04d}"), parts + 1
             state = made.where("what <> 'placed'")
             waiting, fits = _standing(state)
-    out = spark.createDataFrame([], _RUNS)
-    for part in parts:
-        out = out.unionByName(part)
-    return out.select("kind", "value", "at", "n", "run", "start")
+    every = spark.read.schema(_RUNS).parquet(f"{folder}/*") if parts else spark.createDataFrame([], _RUNS)  # one scan
+    return every.where("what = 'placed'").select("kind", "value", "at", "n", "run", "start")
 
 
 def fitted(units: DataFrame) -> DataFrame:
