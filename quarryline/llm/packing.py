@@ -38,14 +38,17 @@ def pieces(sizes: DataFrame, containers: DataFrame) -> DataFrame:
 
 # One statement, so it is analysed once a sweep. At equal sizes the gap comes first, as "gap" sorts before "unit".
 _SWEEP = """
-WITH leveled AS (
+WITH placed AS (
   SELECT *, sum(if(what = 'gap', n, -n)) OVER (PARTITION BY kind ORDER BY value DESC, what, run, at ROWS UNBOUNDED PRECEDING) - if(what = 'gap', n, 0L) AS low FROM {runs}),
+leveled AS (
+  SELECT *, greatest(1, floor((max(low + n) OVER (PARTITION BY kind) - min(low) OVER (PARTITION BY kind)) / 256)) AS width FROM placed),
 ends AS (
-  SELECT kind, point, lead(point) OVER (PARTITION BY kind ORDER BY point) - point AS length
-  FROM (SELECT DISTINCT kind, explode(array(low, low + n)) AS point FROM leveled)),
+  SELECT kind, point, floor(point / width) AS stretch, lead(point) OVER (PARTITION BY kind ORDER BY point) - point AS length
+  FROM (SELECT DISTINCT kind, width, explode(array(low, low + n)) AS point FROM leveled)),
 parts AS (
-  SELECT l.what, l.kind, l.capacity, l.value, l.run, l.at + e.point - l.low AS at, e.point, e.length
-  FROM leveled l JOIN ends e ON l.kind = e.kind AND e.point >= l.low AND e.point < l.low + l.n WHERE e.length > 0),
+  SELECT /*+ BROADCAST(e) */ l.what, l.kind, l.capacity, l.value, l.run, l.at + e.point - l.low AS at, e.point, e.length
+  FROM (SELECT *, explode(sequence(floor(low / width), floor((low + n - 1) / width))) AS stretch FROM leveled) l
+  JOIN ends e ON l.kind = e.kind AND l.stretch = e.stretch AND e.point >= l.low AND e.point < l.low + l.n WHERE e.length > 0),
 beside AS (
   SELECT *, lag(struct(what, run, at)) OVER place AS before, lead(struct(what, value)) OVER place AS next FROM parts
   WINDOW place AS (PARTITION BY kind, point ORDER BY value DESC, what, run, at)),
@@ -68,7 +71,8 @@ def _swept(runs: DataFrame) -> DataFrame:
 
     That is how brackets match: gaps open, units close. The count of gaps less units before a run gives the levels that the
     run covers; the levels are cut where any run begins or ends, and on each stretch a unit's gap is the run right before it.
-    Runs that continue each other become one again. All of it is partitioned by kind, as ``runs`` are.
+    Runs that continue each other become one again. All of it is partitioned by kind, as ``runs`` are; the ends that are
+    broadcast are two a run at most, and runs are bounded by the capacity.
     """
     return runs.sparkSession.sql(_SWEEP, runs=runs)
 
