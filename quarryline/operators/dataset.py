@@ -80,3 +80,18 @@ def feature_rows(rows: DataFrame, features: dict[str, Column], *keep: str) -> Da
     """Numeric features as doubles, null as 0, and the sum of their absolute values as a check."""
     made = rows.select(*keep, *[F.coalesce(c.cast("double"), F.lit(0.0)).alias(n) for n, c in features.items()])
     return made.withColumn("magnitude", reduce(lambda a, b: a + b, [F.abs(F.col(n)) for n in features]))
+
+
+def pilot_checks(rows: DataFrame, query: list[str], strategy: str, expected: int = 4) -> DataFrame:
+    """``check, violations, passed``: rows with a null, exact copies, repeated pairs of query and strategy, and queries that don't
+    have exactly ``expected`` rows. Counts are aggregated before the totals, so repeated rows don't gather."""
+    some_null = reduce(lambda a, b: a | b, [F.col(c).isNull() for c in rows.columns])
+    extra = F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("violations")
+    parts = {
+        "missing_values": rows.agg(F.count_if(some_null).alias("violations")),
+        "duplicate_rows": rows.groupBy(*rows.columns).agg(F.count("*").alias("n")).agg(extra),
+        "duplicate_pairs": rows.groupBy(*query, strategy).agg(F.count("*").alias("n")).agg(extra),
+        "unexpected_rows": rows.groupBy(*query).agg(F.count("*").alias("n")).agg(F.count_if(F.col("n") != expected).alias("violations")),
+    }
+    named = [df.select(F.lit(name).alias("check"), F.col("violations").cast("long").alias("violations")) for name, df in parts.items()]
+    return reduce(DataFrame.unionByName, named).withColumn("passed", F.col("violations") == 0)

@@ -74,3 +74,28 @@ def described(rows: DataFrame, group: str, value: str) -> DataFrame:
     return rows.where(F.col(value).isNotNull()).groupBy(group).agg(
         F.count(value).alias("n"), F.avg(value).alias("mean"), F.median(value).alias("median"), F.coalesce(F.stddev_samp(value), F.lit(0.0)).alias("deviation"), F.min(value).alias("least"), F.max(value).alias("greatest")
     )
+
+
+def plan_coverage(pool: DataFrame, relevant: DataFrame, query: str, item: str) -> DataFrame:
+    """``query, relevant, covered, coverage``: the share of a query's relevant items that stand anywhere in its pool, before any
+    cut. Queries without a relevant item have no row; repeated rows count once."""
+    wanted = relevant.select(query, item).where(F.col(item).isNotNull()).distinct()
+    held = wanted.join(pool.select(query, item).distinct().withColumn("_in", F.lit(1)), [query, item], "left")
+    return held.groupBy(query).agg(F.count("*").alias("relevant"), F.count("_in").alias("covered"), (F.count("_in") / F.count("*")).alias("coverage"))
+
+
+def invocations(retrievers: Column) -> Column:
+    """How many retrievers a plan calls; none without a plan."""
+    return F.coalesce(F.size(retrievers), F.lit(0))
+
+
+def embedding_calls(retrievers: Column) -> Column:
+    """A dense retriever embeds the question once."""
+    return F.coalesce(F.array_contains(retrievers, "dense").cast("int"), F.lit(0))
+
+
+def cost(calls: Column, prompt_tokens: Column, completion_tokens: Column, prices: Column) -> Column:
+    """Linear in a map of prices for ``embedding_call``, ``prompt_token`` and ``completion_token``; a price that is missing is 0,
+    and without prices the cost isn't known (null)."""
+    price = lambda name: F.coalesce(F.try_element_at(prices, F.lit(name)), F.lit(0.0))
+    return F.when(prices.isNotNull(), calls * price("embedding_call") + prompt_tokens * price("prompt_token") + completion_tokens * price("completion_token"))

@@ -110,10 +110,8 @@ def lists(fields: dict[str, DataFrame], asked: DataFrame, item: str, query: str,
             few = ids[score >= np.partition(score, len(score) - k)[len(score) - k]] if len(score) > k else ids
             total = np.round(by_field[few].sum(axis=1), 9)
             few = few[np.lexsort((items[few], -total))[:k]]
-            made = pd.DataFrame({"q": one, "i": items[few], "score": np.round(by_field[few].sum(axis=1), 9), "low": score.min(), "high": score.max(), "n": [len(ids)] + [0] * (len(few) - 1)})
-            out.append(made.assign(**{f"f{j}": by_field[few, j] for j in range(len(names))}))
-        columns = ["q", "i", "score", "low", "high", "n", *[f"f{j}" for j in range(len(names))]]
-        return pd.concat(out)[columns] if out else pd.DataFrame({c: [] for c in columns})
+            out.extend((one, items[i], round(float(by_field[i].sum()), 9), score.min(), score.max(), len(ids) if not at else 0, *by_field[i]) for at, i in enumerate(few))
+        return pd.DataFrame(out, columns=["q", "i", "score", "low", "high", "n", *[f"f{j}" for j in range(len(names))]])
 
     schema = f"q {asked.schema[query].dataType.simpleString()}, i {weights.schema['_id'].dataType.simpleString()}, score double, low double, high double, n long, " + ", ".join(f"f{j} double" for j in range(len(names)))
     found = left.groupBy("_q", "_i").cogroup(right.groupBy("_q", "_i")).applyInPandas(best, schema)
@@ -213,6 +211,34 @@ def reached(edges: DataFrame, seeds: DataFrame, depth: int = 3, undirected: bool
     return seen.withColumn("score", 1 / (1 + F.col("distance")))
 
 
+def reached_by(edges: DataFrame, seeds: DataFrame, query: str, depth: int, undirected: bool = False) -> DataFrame:
+    """``query, node, distance, score``: what each query reaches from its own seeds (``query, node``) within ``depth`` steps,
+    with the least distance. Null nodes are no nodes; seeds without edges reach themselves."""
+    steps = edges.where("src is not null and dst is not null").select("src", "dst")
+    if undirected:
+        steps = steps.unionByName(steps.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    steps = cut(steps.distinct())
+    seen = cut(seeds.where("node is not null").select(query, "node").distinct().withColumn("distance", F.lit(0)))
+    frontier = seen
+    for d in range(1, depth + 1):
+        found = frontier.join(steps, frontier["node"] == steps["src"]).select(query, F.col("dst").alias("node")).distinct()
+        frontier = cut(found.join(seen, [query, "node"], "left_anti").withColumn("distance", F.lit(d)))
+        if frontier.isEmpty():
+            break
+        seen = seen.unionByName(frontier)
+    return seen.withColumn("score", 1 / (1 + F.col("distance")))
+
+
+def path_seeds(asked: DataFrame, paths: DataFrame, query: str) -> DataFrame:
+    """``query, node``: the file of exactly the path that ``asked`` (``query, path``) names, else all files of that last name.
+    ``paths`` has ``node, path``."""
+    base = lambda c: F.regexp_extract(c, r"([^/]+)$", 1)
+    exact = asked.join(paths, "path").select(query, "path", "node")
+    rest = asked.join(exact.select(query, "path"), [query, "path"], "left_anti").withColumn("_b", base("path")).drop("path")
+    loose = rest.join(paths.select("node", base("path").alias("_b")), "_b")
+    return exact.select(query, "node").unionByName(loose.select(query, "node")).distinct()
+
+
 def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """``node, component``: the least node that is connected with it. Labels spread along edges and jump along labels, so
     the rounds grow with the logarithm of the longest path."""
@@ -238,3 +264,9 @@ def combined(parts: list[tuple[DataFrame, float]], query: str, item: str) -> Dat
     """Scores of several retrievers, each normalised over its own list, summed by weight; what one doesn't list counts 0."""
     rows = [df.select(query, item, (normalised(F.col("score"), Window.partitionBy(query)) * w).alias("score")) for df, w in parts]
     return reduce(DataFrame.unionByName, rows).groupBy(query, item).agg(F.sum("score").alias("score"))
+
+
+def hashed_arrays(rows: DataFrame, item: str, buckets: int = 128) -> DataFrame:
+    """``item, embedding`` of ``hashed_vectors``, a full vector each."""
+    held = hashed_vectors(rows, item, buckets).groupBy(item).agg(F.map_from_entries(F.collect_list(F.struct("bucket", "value"))).alias("m"))
+    return held.select(item, F.transform(F.sequence(F.lit(0), F.lit(buckets - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0))).alias("embedding"))

@@ -11,6 +11,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quarryline.session import cut, running_start
+
+RANGES = 4096
+EXACT = 50  # differences up to which a p-value is exact
+
 
 def paired(rows: DataFrame, unit: str, variant: str, value: str, a: str, b: str) -> DataFrame:
     """``unit, a, b``: units that have a value under both variants, averaged where they have several."""
@@ -19,31 +24,37 @@ def paired(rows: DataFrame, unit: str, variant: str, value: str, a: str, b: str)
 
 
 def ranked_counts(rows: DataFrame, value: Column, keep: list[str]) -> DataFrame:
-    """``keep, value, n, mean_rank`` per distinct value. Ranks come from the counts of distinct values, so the running sum is
-    over those and not over all rows."""
-    counts = rows.select(*keep, value.alias("_v")).groupBy(*keep, "_v").agg(F.count("*").alias("n"))
-    before = Window.partitionBy(*keep).orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
-    return counts.withColumn("mean_rank", F.coalesce(F.sum("n").over(before), F.lit(0)) + (F.col("n") + 1) / 2)
+    """``keep, value, n, mean_rank`` per distinct number. Ranks come from the counts of distinct values, and their running sum
+    from buckets of equal width between the least and the greatest, so no group is sorted in one task."""
+    counts = cut(rows.select(*keep, value.cast("double").alias("_v")).groupBy(*keep, "_v").agg(F.count("*").alias("n")))
+    ends = counts.groupBy(*keep).agg(F.min("_v").alias("_low"), F.max("_v").alias("_high"))
+    spread = F.coalesce(F.least(F.floor((F.col("_v") - F.col("_low")) / F.nullif(F.col("_high") - F.col("_low"), F.lit(0.0)) * RANGES), F.lit(RANGES - 1)), F.lit(0))
+    spans = counts.join(ends, keep).withColumn("_spread", spread)
+    placed = running_start(spans, keep, F.col("_spread"), [F.col("_v")], F.col("n"), RANGES)
+    return placed.select(*keep, "_v", "n", (F.col("start") + (F.col("n") + 1) / 2).alias("mean_rank"))
 
 
 def signed_ranks(pairs: DataFrame, group: list[str]) -> DataFrame:
-    """Per group: ``n, w_plus, w_minus, statistic, rank_biserial, ranks``; differences of 0 are dropped. ``ranks`` holds the
-    doubled mean ranks with their counts, which are all that a p-value needs."""
+    """Per group: ``n, w_plus, w_minus, statistic, rank_biserial, ties, ranks``; differences of 0 are dropped. ``ties`` sums
+    n**3 - n over equal differences; ``ranks`` holds the doubled mean ranks with their counts of groups of at most ``EXACT``
+    differences, else null: these are all that a p-value needs."""
     d = pairs.withColumn("_d", F.round(F.col("a") - F.col("b"), 12)).where("_d <> 0").withColumn("_abs", F.abs("_d"))
     ranks = ranked_counts(d, F.col("_abs"), group)
-    signs = d.groupBy(*group, F.col("_abs").alias("_v")).agg(F.sum((F.col("_d") > 0).cast("int")).alias("up"), F.count("*").alias("all"))
-    both = ranks.join(signs, [*group, "_v"])
-    sums = both.groupBy(*group).agg(F.sum("n").alias("n"), F.sum(F.col("mean_rank") * F.col("up")).alias("w_plus"), F.sum(F.col("mean_rank") * (F.col("all") - F.col("up"))).alias("w_minus"), F.collect_list(F.struct((F.col("mean_rank") * 2).cast("int").alias("r"), F.col("n").alias("n"))).alias("ranks"))
+    signs = d.groupBy(*group, F.col("_abs").alias("_v")).agg(F.sum((F.col("_d") > 0).cast("int")).alias("up"))
+    both = cut(ranks.join(signs, [*group, "_v"]))
+    cubes = F.pow(F.col("n").cast("double"), 3) - F.col("n")
+    sums = both.groupBy(*group).agg(F.sum("n").alias("n"), F.sum(F.col("mean_rank") * F.col("up")).alias("w_plus"), F.sum(F.col("mean_rank") * (F.col("n") - F.col("up"))).alias("w_minus"), F.sum(cubes).alias("ties"))
+    few = both.join(sums.where(F.col("n") <= EXACT).select(*group), group, "left_semi").groupBy(*group).agg(F.collect_list(F.struct((F.col("mean_rank") * 2).cast("int").alias("r"), F.col("n").alias("n"))).alias("ranks"))
     total = F.col("w_plus") + F.col("w_minus")
-    return sums.withColumn("statistic", F.least("w_plus", "w_minus")).withColumn("rank_biserial", F.coalesce((F.col("w_plus") - F.col("w_minus")) / F.nullif(total, F.lit(0.0)), F.lit(0.0)))
+    return sums.join(few, group, "left").withColumn("statistic", F.least("w_plus", "w_minus")).withColumn("rank_biserial", F.coalesce((F.col("w_plus") - F.col("w_minus")) / F.nullif(total, F.lit(0.0)), F.lit(0.0)))
 
 
-def signed_rank_p(ranks: list[tuple[int, int]], w_plus: float) -> float:
-    """Two-sided; exact over all signs for up to 50 differences, ties included, else the normal approximation."""
-    each = [r for r, n in ranks for _ in range(n)]
-    if not each:
+def signed_rank_p(ranks: list[tuple[int, int]] | None, w_plus: float, n: int, ties: float) -> float:
+    """Two-sided; exact over all signs where the single ranks are known, ties included, else the normal approximation."""
+    if not n:
         return 1.0
-    if len(each) <= 50:
+    if ranks is not None:
+        each = [r for r, k in ranks for _ in range(k)]
         ways = np.zeros(sum(each) + 1)
         ways[0] = 1
         for r in each:
@@ -51,17 +62,27 @@ def signed_rank_p(ranks: list[tuple[int, int]], w_plus: float) -> float:
         ways /= ways.sum()
         at = int(round(2 * w_plus))
         return float(min(1.0, 2 * min(ways[: at + 1].sum(), ways[at:].sum())))
-    n = len(each)
-    spread = n * (n + 1) * (2 * n + 1) / 24 - sum(k**3 - k for _, k in ranks) / 48
+    spread = n * (n + 1) * (2 * n + 1) / 24 - ties / 48
     return math.erfc(abs(w_plus - n * (n + 1) / 4) / math.sqrt(spread) / math.sqrt(2)) if spread > 0 else 1.0
 
 
 def with_signed_rank_p(stats: DataFrame) -> DataFrame:
     @F.pandas_udf(T.DoubleType())
-    def p(ranks: pd.Series, w_plus: pd.Series) -> pd.Series:
-        return pd.Series([signed_rank_p([(int(x["r"]), int(x["n"])) for x in r], w) for r, w in zip(ranks, w_plus)])
+    def p(ranks: pd.Series, w_plus: pd.Series, n: pd.Series, ties: pd.Series) -> pd.Series:
+        known = [None if r is None else [(int(x["r"]), int(x["n"])) for x in r] for r in ranks]
+        return pd.Series([signed_rank_p(*row) for row in zip(known, w_plus, n, ties)])
+
+    return stats.withColumn("p", p("ranks", "w_plus", "n", "ties"))
+
 
-    return stats.withColumn("p", p("ranks", "w_plus"))
+def compared(rows: DataFrame, group: str, unit: str, variant: str, value: str, a: str, b: str) -> DataFrame:
+    """Per group: ``n``, means, deviations and mean difference of the paired values, and the signed-rank statistic with its
+    effect size and p. Groups with fewer than two pairs, and null groups, are left out; without any difference p is 1."""
+    means = rows.where(F.col(variant).isin(a, b) & F.col(value).isNotNull() & F.col(group).isNotNull()).groupBy(group, unit).agg(F.avg(F.when(F.col(variant) == a, F.col(value))).alias("a"), F.avg(F.when(F.col(variant) == b, F.col(value))).alias("b"))
+    pairs = cut(means.where("a is not null and b is not null"))
+    described = pairs.groupBy(group).agg(F.count("*").alias("pairs"), F.avg("a").alias("mean_a"), F.avg("b").alias("mean_b"), F.stddev_samp("a").alias("std_a"), F.stddev_samp("b").alias("std_b"), F.avg(F.col("a") - F.col("b")).alias("mean_difference")).where("pairs > 1")
+    tested = with_signed_rank_p(signed_ranks(pairs, [group])).select(group, "statistic", "rank_biserial", "p")
+    return described.join(tested, group, "left").fillna({"statistic": 0.0, "rank_biserial": 0.0, "p": 1.0})
 
 
 def holm(tests: DataFrame, family: str, test: str, p: str, alpha: float = 0.05) -> DataFrame:

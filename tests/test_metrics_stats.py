@@ -71,3 +71,38 @@ def test_bootstrap_holds_the_mean(spark):
     d = spark.createDataFrame([("g", float(i % 7)) for i in range(300)], "g string, v double")
     r = S.bootstrap_interval(d, "g", "v", rounds=300).first()
     assert r.low < r["mean"] < r.high and r.high - r.low < 1
+
+
+def test_compared_groups_and_family(spark):
+    import itertools
+    import random
+
+    rng = random.Random(1)
+    rows, pairs = [], {}
+    for g in "abcd":
+        for u in range({"a": 12, "b": 70, "c": 1, "d": 9}[g]):
+            x, y = rng.randint(0, 9), rng.randint(0, 9) + (3 if g == "b" else 0)
+            rows += [(g, u, "new", float(x)), (g, u, "old", float(y)), (g, u, "other", None)]
+            pairs.setdefault(g, []).append(x - y)
+    rows += [("d", 99, "new", 1.0), (None, 1, "new", 1.0), (None, 1, "old", 2.0)]
+    got = {r.g: r for r in S.compared(spark.createDataFrame(rows, "g string, u int, v string, x double"), "g", "u", "v", "x", "new", "old").collect()}
+    assert set(got) == {"a", "b", "d"} and got["d"].pairs == 9
+    for g in "ad":
+        d = [v for v in pairs[g] if v]
+        rank = {v: sum(abs(w) < v for w in d) + (sum(abs(w) == v for w in d) + 1) / 2 for v in map(abs, d)}
+        plus, total = sum(rank[abs(v)] for v in d if v > 0), sum(rank[abs(v)] for v in d)
+        sums = [sum(rank[abs(v)] for v, up in zip(d, ups) if up) for ups in itertools.product((0, 1), repeat=len(d))]
+        p = min(1.0, 2 * min(sum(s <= plus for s in sums), sum(s >= plus for s in sums)) / len(sums))
+        assert abs(got[g].p - p) < 1e-9 and got[g].statistic == min(plus, total - plus)
+    assert got["b"].p < 0.001
+    same = spark.createDataFrame([("e", u, v, 1.0) for u in range(3) for v in ("new", "old")], "g string, u int, v string, x double")
+    assert [(r.p, r.statistic) for r in S.compared(same, "g", "u", "v", "x", "new", "old").collect()] == [(1.0, 0.0)]
+
+
+def test_cost_and_coverage(spark):
+    df = spark.createDataFrame([(["lexical", "dense"], {"prompt_token": 2.0}), (None, None)], "r array<string>, p map<string,double>")
+    rows = df.select(M.invocations(M.F.col("r")).alias("n"), M.embedding_calls(M.F.col("r")).alias("e"), M.cost(M.F.lit(1), M.F.lit(3), M.F.lit(5), M.F.col("p")).alias("c")).collect()
+    assert [tuple(r) for r in rows] == [(2, 1, 6.0), (0, 0, None)]
+    pool = spark.createDataFrame([(1, "a"), (1, "a"), (2, "x")], "q int, i string")
+    wanted = spark.createDataFrame([(1, "a"), (1, "b"), (2, "y"), (3, None)], "q int, i string")
+    assert {r.q: (r.covered, r.coverage) for r in M.plan_coverage(pool, wanted, "q", "i").collect()} == {1: (1, 0.5), 2: (0, 0.0)}

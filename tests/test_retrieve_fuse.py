@@ -28,6 +28,23 @@ def test_bm25_needle_and_formula(spark):
     assert R.bm25(docs(spark, *corpus.items()).limit(0), asked(spark, (1, ["x"])), "doc_id", "q").count() == 0
 
 
+def test_lists_in_blocks_equal_plain_bm25(spark):
+    import random
+
+    rng = random.Random(2)
+    words = [f"w{i}" for i in range(30)]
+    d = docs(spark, *[(f"d{i:03d}", rng.choices(words, k=rng.randint(0, 12))) for i in range(120)], ("none", None))
+    q = asked(spark, *[(i, rng.choices([*words, "absent"], k=4)) for i in range(9)], (20, []), (21, None))
+    plain = {}
+    for r in R.top_k(R.bm25(d, q, "doc_id", "q"), "q", "doc_id", 5).collect():
+        plain[r.q, r.rank] = (r.doc_id, round(r.score, 6), round(r.normalised, 6))
+    terms = R._asked(q, "q")
+    found, n = R.postings(d, "doc_id")
+    got = R.lists({"text": R.bm25_weights(found, n, terms.select("term").distinct(), "doc_id")}, terms, "doc_id", "q", 5, query_block=4, item_block=30).collect()
+    assert {(r.q, r["rank"]): (r.doc_id, round(r.score, 6), round(r.normalised, 6)) for r in got} == plain
+    assert R.bm25_lists(d.limit(0), q, "doc_id", "q", 5).count() == 0 and R.bm25_lists(d, q.limit(0), "doc_id", "q", 5).count() == 0
+
+
 def test_top_k_normalises_before_cut(spark):
     s = spark.createDataFrame([(1, "b", 2.0), (1, "a", 2.0), (1, "c", 1.0), (2, "z", 5.0)], "q long, i string, score double")
     rows = {(r.q, r.i): (r.rank, r.normalised) for r in R.top_k(s, "q", "i", 2).collect()}
