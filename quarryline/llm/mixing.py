@@ -1,9 +1,10 @@
 """Mixing sources to target weights (p8) by hierarchical budgeting.
 
-The tree is corpus, source, language. A source's target is its weight; its languages share it by their supply, tempered so
-that small languages get somewhat more. Budgets flow down by weight; what a leaf can't supply, its documents repeated as
-often as allowed, goes to its siblings, and what all of them can't take goes up to the other sources by their weights. Of
-each leaf whole seeded epochs and the prefix of one more, in that epoch's own order, are taken up to its budget.
+The tree is corpus, domain, source, language. A source's target is its weight, a domain's the sum of its sources'; languages
+share their source's budget by their supply, tempered so that small ones get somewhat more. Budgets flow down by weight; what a
+leaf can't supply, its documents repeated as often as allowed, goes to its siblings, what they can't take to the other sources
+of the domain, and what these can't take to the other domains. Of each leaf whole seeded epochs and the prefix of one more, in
+that epoch's own order, are taken up to its budget.
 """
 
 from __future__ import annotations
@@ -15,6 +16,12 @@ from quarryline.llm.sizes import sized
 from quarryline.session import cut, running_start
 
 TEMPER = 0.7
+# The domain of each kind of text; a source that isn't listed is a domain of its own.
+DOMAINS = {
+    "readme": "documentation", "docstring": "documentation", "userguide": "documentation", "changelog": "documentation", "faq": "documentation",
+    "issue": "discussion", "forum": "discussion", "commit_message": "discussion",
+    "query_notes": "annotation", "rationale": "annotation", "research_notes": "annotation",
+}
 BUCKETS = 4096
 
 
@@ -46,15 +53,18 @@ def poured(budget: float, weights: dict, limits: dict) -> dict:
     return got
 
 
-def budgets(supplies: dict[tuple[str, str], int], targets: dict[str, tuple[float, int]], total: float) -> dict[tuple[str, str], float]:
+def budgets(supplies: dict[tuple[str, str], int], targets: dict[str, tuple[float, int]], total: float, domains: dict[str, str] = DOMAINS) -> dict[tuple[str, str], float]:
     """Tokens to take of each (source, language)."""
     limits = {leaf: float(n * targets[leaf[0]][1]) for leaf, n in supplies.items() if leaf[0] in targets}
     by_source = {s: sum(v for leaf, v in limits.items() if leaf[0] == s) for s in targets}
-    top = poured(total, {s: share for s, (share, _) in targets.items()}, by_source)
+    members: dict[str, list[str]] = {}
+    for s in targets:
+        members.setdefault(domains.get(s, s), []).append(s)
+    top = poured(total, {d: sum(targets[s][0] for s in ms) for d, ms in members.items()}, {d: sum(by_source[s] for s in ms) for d, ms in members.items()})
     out: dict[tuple[str, str], float] = {}
-    for s, budget in top.items():
-        leaves = {leaf: supplies[leaf] ** TEMPER for leaf in limits if leaf[0] == s}
-        out |= poured(budget, leaves, limits)
+    for d, budget in top.items():
+        for s, own in poured(budget, {s: targets[s][0] for s in members[d]}, by_source).items():
+            out |= poured(own, {leaf: supplies[leaf] ** TEMPER for leaf in limits if leaf[0] == s}, limits)
     return out
 
 

@@ -2,10 +2,10 @@
 
 Records are led to a repository by whatever spelling, by a former name or by the prefix of their query id, and on to the
 root of its forks. Records that share a root form a component; a component's label vector counts its records per label.
-Grouped iterative stratification then places components, the rarest outstanding label first, into the split that needs the
-label most. A component that holds more than a share of the records is placed on its own; all others are placed in bulk:
-laid end to end by size, each falls into the split whose remaining need covers its midpoint. So the number of steps
-depends on the number of labels and of large components, never on the number of records or components.
+Grouped iterative stratification then places components, those of the rarest outstanding label first: they are taken from the
+largest down in waves of like size, each wave laid end to end in units of the label and dealt to the splits by what they still
+need of it, the neediest first. So every component follows one rule, later waves even out what earlier ones left, and the
+number of steps depends on labels and sizes, never on the number of records or components.
 """
 
 from __future__ import annotations
@@ -13,7 +13,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarryline.session import cut, first_delivery, running_start
+from quarryline.session import cut, first_delivery, freed, new_folder, running_start
+
+BUCKETS = 1024
 
 
 def name_key(name: Column) -> Column:
@@ -75,80 +77,50 @@ def labels(category: Column, difficulty: Column) -> Column:
     return F.array(F.concat(F.lit("category="), tidy(category)), F.concat(F.lit("difficulty="), tidy(difficulty)))
 
 
-def stratify(records: DataFrame, component: str, label_list: str, targets: DataFrame, large_share: float = 0.002) -> DataFrame:
+ALL = "\x00all"  # the label of every record
+
+
+def stratify(records: DataFrame, component: str, label_list: str, targets: DataFrame) -> DataFrame:
     """``component, split`` for each component of ``records``, near the shares of ``targets`` overall and per label.
 
-    Null components aren't placed (give each its own name first). Components with ``large_share`` of all records or more
-    are at most ``1 / large_share`` many and are placed one at a time; the rest in bulk per label, rarest first.
+    Null components aren't placed (give each its own name first); records without labels count for the total only. One row
+    per label, size class and split goes to the driver.
     """
-    shares = {r["split"]: float(r["target_share"]) for r in targets.where("split is not null").collect()}  # one row a split
-    labelled = records.where(F.col(component).isNotNull()).select(F.col(component).alias("component"), F.explode(label_list).alias("label"))
-    counts = cut(labelled.groupBy("component", "label").agg(F.count("*").alias("n")))
-    sizes = records.where(F.col(component).isNotNull()).groupBy(F.col(component).alias("component")).agg(F.count("*").alias("size"))
-    sizes = cut(sizes)
-    total = sizes.agg(F.sum("size")).first()[0] or 0
     spark = records.sparkSession
-    if not total or not shares:
-        return sizes.select("component", F.lit(None).cast("string").alias("split")).limit(0)
-    by_label = {r["label"]: r["n"] for r in counts.groupBy("label").agg(F.sum("n").alias("n")).collect()}
-    need = {(s, lab): share * n for s, share in shares.items() for lab, n in by_label.items()}
-    room = {s: share * total for s, share in shares.items()}
-
-    def settle(split: str, vector: dict[str, int], size: int) -> None:
-        room[split] -= size
-        for lab, n in vector.items():
-            need[split, lab] -= n
-
-    placed: dict[str, str] = {}
-    big = sizes.where(F.col("size") >= large_share * total)
-    waiting = {r["component"]: (r["size"], {}) for r in big.collect()}  # at most 1 / large_share rows
-    for r in counts.join(big.select("component"), "component", "left_semi").collect():
-        waiting[r["component"]][1][r["label"]] = r["n"]
-    outstanding = dict(by_label)
-    while waiting:
-        held = {lab for _, v in waiting.values() for lab in v}
-        rare = min(held, key=lambda lab: (outstanding[lab], lab)) if held else None
-        those = [c for c, (_, v) in waiting.items() if rare is None or rare in v]
-        c = max(those, key=lambda c: (waiting[c][0], c))
-        size, vector = waiting.pop(c)
-        split = max(shares, key=lambda s: (min(room[s], need.get((s, rare), 0) * total / max(by_label.get(rare, total), 1)), room[s], s))
-        placed[c] = split
-        settle(split, vector, size)
-        for lab, n in vector.items():
-            outstanding[lab] -= n
-    parts = [spark.createDataFrame(list(placed.items()), "component string, split string")] if placed else []
-    left = cut(sizes.where(F.col("size") < large_share * total))
-    for lab in sorted(by_label, key=lambda lab: (outstanding[lab], lab)):
-        own = left.join(counts.where(F.col("label") == lab).select("component", "n"), "component")
-        # the bucket orders by size, the hash within it, so that sizes are spread over all splits alike
-        order = running_start(own, [], F.pmod(F.xxhash64("component"), F.lit(256)), [F.desc("size"), F.col("component")], F.col("n"))
-        open_need = {s: max(need[s, lab], 0.0) if room[s] > 0 else 0.0 for s in shares}
-        if sum(open_need.values()) <= 0:
-            open_need = {s: max(room[s], 0.0) for s in shares}
-        if sum(open_need.values()) <= 0:
-            open_need = dict(shares)
-        here = outstanding[lab] or 1
-        bounds, edge = [], 0.0
-        for s in sorted(shares):
-            edge += open_need[s] / sum(open_need.values())
-            bounds.append((s, edge))
-        choice = F.lit(bounds[-1][0])
-        for s, upto in reversed(bounds[:-1]):
-            choice = F.when((F.col("start") + F.col("n") / 2) / F.lit(float(here)) < upto, s).otherwise(choice)
-        chosen = cut(order.select("component", choice.alias("split")))
-        parts.append(chosen)
-        for r in chosen.join(counts, "component").groupBy("split", "label").agg(F.sum("n").alias("n")).collect():
-            need[r["split"], r["label"]] -= r["n"]
-            outstanding[r["label"]] -= r["n"]
-        for r in chosen.join(sizes, "component").groupBy("split").agg(F.sum("size").alias("n")).collect():
-            room[r["split"]] -= r["n"]
-        left = cut(left.join(chosen.select("component"), "component", "left_anti"))
-        if left.isEmpty():
-            break
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    shares = {r["split"]: float(r["target_share"] or 0) for r in targets.where("split is not null").collect()}  # one row a split
+    known = records.where(F.col(component).isNotNull())
+    every = F.concat(F.coalesce(label_list, F.array().cast("array<string>")), F.array(F.lit(ALL)))
+    path = new_folder(spark)
+    left = cut(known.select(F.col(component).alias("component"), F.explode(every).alias("label")).groupBy("component", "label").agg(F.count("*").alias("n")), path)
+    outstanding = {r["label"]: r["n"] for r in left.groupBy("label").agg(F.sum("n").alias("n")).collect()}
+    empty = left.select("component", F.lit(None).cast("string").alias("split")).limit(0)
+    if not outstanding or not shares:
+        return empty
+    need = {(s, label): share * n for s, share in shares.items() for label, n in outstanding.items()}
+    made, parts = new_folder(spark), 0
+    while outstanding[ALL] > 0:
+        rare = min((label for label, n in outstanding.items() if n > 0), key=lambda label: (label == ALL, outstanding[label], label))
+        own = left.where(F.col("label") == rare).select("component", "n", F.floor(F.log2("n")).cast("int").alias("k"))
+        waves = {r["k"]: r["n"] for r in own.groupBy("k").agg(F.sum("n").alias("n")).collect()}
+        for k in sorted(waves, reverse=True):
+            order = running_start(own.where(F.col("k") == k), [], F.pmod(F.xxhash64("component"), F.lit(BUCKETS)), [F.col("component")], F.col("n"), BUCKETS)
+            wanted = {s: max(need[s, rare], 0.0) if need[s, ALL] > 0 else 0.0 for s in shares}
+            if sum(wanted.values()) <= 0:
+                wanted = {s: max(need[s, ALL], 0.0) for s in shares}
+            if sum(wanted.values()) <= 0:
+                wanted = {s: share or 1e-9 for s, share in shares.items()}
+            ranked = sorted(wanted, key=lambda s: (-wanted[s], s))
+            at, choice, edge = F.col("start") / F.lit(float(waves[k])), F.lit(ranked[-1]), sum(wanted.values())
+            for i in range(len(ranked) - 2, -1, -1):
+                choice = F.when(at < sum(wanted[s] for s in ranked[: i + 1]) / edge, ranked[i]).otherwise(choice)
+            chosen, parts = cut(order.select("component", choice.alias("split")), f"{made}/{parts:04d}"), parts + 1
+            for r in chosen.join(left, "component").groupBy("split", "label").agg(F.sum("n").alias("n")).collect():
+                need[r["split"], r["label"]] -= r["n"]
+                outstanding[r["label"]] -= r["n"]
+        last, path = path, new_folder(spark)
+        left = cut(left.join(own.select("component"), "component", "left_anti"), path)
+        freed(spark, last)
+    return spark.read.schema(empty.schema).parquet(f"{made}/*") if parts else empty
 
 
 def assign(records: DataFrame, repositories: DataFrame, targets: DataFrame) -> DataFrame:

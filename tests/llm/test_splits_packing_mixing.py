@@ -110,6 +110,33 @@ def test_budgets():
     assert sum(mixing.budgets(supplies, targets, 1e9).values()) == 1000 + 10 + 200
 
 
+def test_budgets_fill_shortages_inside_the_domain_first():
+    supplies = {("readme", "en"): 10, ("faq", "en"): 1000, ("forum", "en"): 1000}
+    targets = {"readme": (0.4, 1), "faq": (0.1, 1), "forum": (0.5, 1)}
+    got = mixing.budgets(supplies, targets, 1000)
+    assert {k: round(v, 6) for k, v in got.items()} == {("readme", "en"): 10, ("faq", "en"): 490, ("forum", "en"): 500}
+    plain = mixing.budgets(supplies, targets, 1000, domains={})
+    assert plain[("forum", "en")] > 500
+
+
+def test_labels_are_spread_like_targets(spark):
+    rng = random.Random(8)
+    rows = []
+    for c in range(120):
+        for _ in range(rng.choice([1, 1, 2, 5, 40, 200])):
+            rows.append((f"c{c}", [rng.choice("aaaaabbbc"), rng.choice(["x", "y"])]))
+    rows += [(f"s{i}", [rng.choice("abbbd")]) for i in range(3000)] + [(None, ["a"]), ("bare", None)]
+    df = spark.createDataFrame(rows, "component string, labels array<string>")
+    targets = spark.createDataFrame([("train", 0.7), ("validation", 0.15), ("test", 0.15)], "split string, target_share double")
+    chosen = splits.stratify(df, "component", "labels", targets)
+    assert chosen.count() == chosen.select("component").distinct().count() == 3121
+    got = df.join(chosen, "component").select("split", F.explode("labels").alias("label")).groupBy("label").pivot("split").count().fillna(0).collect()
+    for r in got:
+        total = r["train"] + r["validation"] + r["test"]
+        assert abs(r["train"] / total - 0.7) < 0.03 and abs(r["test"] / total - 0.15) < 0.03, r
+    assert splits.stratify(df.limit(0), "component", "labels", targets).count() == 0
+
+
 def test_mixing_respects_repeats_and_prefix(spark):
     rng = random.Random(3)
     a = documents(spark, ["w " * rng.randint(1, 30) for _ in range(400)], "Readme ", "en-GB")
