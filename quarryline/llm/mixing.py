@@ -16,11 +16,10 @@ from quarryline.llm.sizes import sized
 from quarryline.session import cut, running_start
 
 TEMPER = 0.7
-# The domain of each kind of text; a source that isn't listed is a domain of its own.
+# Texts for those who use a project, and texts of the work on it; a source that isn't listed is a domain of its own.
 DOMAINS = {
-    "readme": "documentation", "docstring": "documentation", "userguide": "documentation", "changelog": "documentation", "faq": "documentation",
-    "issue": "discussion", "forum": "discussion", "commit_message": "discussion",
-    "query_notes": "annotation", "rationale": "annotation", "research_notes": "annotation",
+    "readme": "usage", "docstring": "usage", "userguide": "usage", "changelog": "usage", "faq": "usage", "forum": "usage",
+    "issue": "development", "commit_message": "development", "query_notes": "development", "rationale": "development", "research_notes": "development",
 }
 BUCKETS = 4096
 

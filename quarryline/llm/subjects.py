@@ -24,7 +24,7 @@ from quarryline.llm.overlap import Speller
 from quarryline.session import cut, first_delivery
 
 WIDTH = 1 << 18
-SAMPLE_LABELLED = 3000
+SAMPLE_LABELLED = 2000
 GRID = (-1.0, -0.5, 0.0, 0.5, 1.0)  # thresholds tried
 WORD_SHARE = 4e-5  # of all words; a word below it forms no n-gram, so at most 1 / WORD_SHARE words do
 FALLBACK = "software"
@@ -151,7 +151,7 @@ def judged(labels: DataFrame, subjects: list[str]) -> DataFrame:
     return kept.groupBy("doc_id").agg(F.collect_set("subject").alias("subjects"))
 
 
-def _fit(rows: np.ndarray, grams: np.ndarray, y: np.ndarray, share: np.ndarray, ridge: float, steps: int = 40, rate: float = 0.6) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _fit(rows: np.ndarray, grams: np.ndarray, y: np.ndarray, ridge: float, steps: int = 40, rate: float = 0.6) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """L2-regularised logistic regressions by AdaGrad over the whole sample, a column of ``y`` each: (n-grams, weights,
     biases). N-grams that stand fewer than three times are left out; ``rows`` is sorted."""
     n, k = y.shape
@@ -164,10 +164,10 @@ def _fit(rows: np.ndarray, grams: np.ndarray, y: np.ndarray, share: np.ndarray,
     weights, biases = np.zeros((len(used), k)), np.full(k, -20.0)
     for j in np.flatnonzero(y.any(axis=0)):
         w, bias, sums, bias_sum = np.zeros(len(used)), -2.0, np.full(len(used), 1e-12), 1e-12
-        own, share_ = y[:, j].astype(float), share[:, 0]
+        own = y[:, j].astype(float)
         for _ in range(steps):
             z = np.bincount(rows, w[at], minlength=n) + bias
-            g = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - own) * share_
+            g = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - own
             grad = (np.bincount(at, g[rows], minlength=len(used)) + ridge * w) / n
             sums += grad**2
             w -= rate * grad / np.sqrt(sums)
@@ -204,33 +204,39 @@ def _scored(chunk, weights: Weights) -> np.ndarray:
     return _summed(rows, grams, len(docs), weights)
 
 
-def _weak_labels(chunk, level: str, weights: Weights) -> tuple[np.ndarray, np.ndarray]:
-    """(how much a sentence weighs, for which subjects it counts as positive)."""
+def _weak_labels(chunk, level: str, weights: Weights) -> np.ndarray:
+    """The subjects for which each sentence counts as positive, as bits."""
     docs, human, _, _ = _unpacked(chunk)
-    given = (human[:, None] >> np.arange(len(weights.biases))) & 1 == 1
     if level == "document":
-        return np.ones(len(docs)), given
+        return human
     scores = _scored(chunk, weights)
-    # the subject it deals with most
-    return np.ones(len(docs)), (scores > 0) & (scores >= scores.max(axis=1, keepdims=True))
+    held = (scores > 0) & (scores >= scores.max(axis=1, keepdims=True))  # the subject it deals with most
+    return held @ (1 << np.arange(held.shape[1]))
+
+
+_LABELLED = "labels array<int>, rows array<int>, grams array<int>"
 
 
 def _train(chunks: DataFrame, level: str, ridge: float, subjects: list[str], weights: Weights) -> Weights:
-    """One-versus-rest classifiers over the bounded sample; each task fits some of the subjects."""
+    """One-versus-rest classifiers over the bounded sample; labels are made once, then each task fits some of the subjects."""
     tasks = min(TASKS, len(subjects))
-    each = chunks.withColumn("part", F.explode(F.array(*map(F.lit, range(tasks)))))
     before = chunks.sparkSession.sparkContext.broadcast(weights)
 
+    def label(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame([(_weak_labels(c, level, before.value), c.rows, c.grams) for c in batch.itertuples()], columns=["labels", "rows", "grams"])
+
+    each = chunks.mapInPandas(label, _LABELLED).withColumn("part", F.explode(F.array(*map(F.lit, range(tasks)))))
+
     def fit(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         own = list(range(key[0], len(subjects), tasks))
         parts, n = [], 0
         for chunk in pdf.itertuples():
-            docs, _, rows, grams = _unpacked(chunk)
-            share, y = _weak_labels(chunk, level, before.value)
-            parts.append((rows + n, grams, share[:, None], y[:, own]))
-            n += len(docs)
-        rows, grams, share, y = map(np.concatenate, zip(*parts))
-        used, found, bias = _fit(rows, grams, y, share, ridge)
+            labels = np.asarray(chunk.labels, int)
+            parts.append((np.asarray(chunk.rows, int) + n, np.asarray(chunk.grams, int), (labels[:, None] >> np.array(own)) & 1 == 1))
+            n += len(labels)
+        rows, grams, y = map(np.concatenate, zip(*parts))
+        used, found, bias = _fit(rows, grams, y, ridge)
         keep = [np.abs(found[:, i]) > 0.05 for i in range(len(own))]
         return pd.DataFrame({"subject": own, "bias": bias, "at": [used[m].astype(np.int32) for m in keep], "weight": [found[m, i].astype(np.float32) for i, m in enumerate(keep)]})
 
