@@ -22,7 +22,7 @@ def _facts(file_id: int, text: str | None) -> list[tuple]:
             warnings.simplefilter("ignore")
             tree = ast.parse(text or "")
     except (SyntaxError, ValueError, RecursionError, MemoryError) as error:
-        return [(file_id, "error", type(error).__name__, "", getattr(error, "lineno", None) or 0, 0, "", str(error)[:200], None)]
+        return [(file_id, "error", type(error).__name__, "", getattr(error, "lineno", None) or 0, 0, "", str(error), None)]
     rows: list[tuple] = []
     scopes: list[tuple[ast.AST, tuple[str, ...], bool, bool]] = [(tree, (), False, False)]
     while scopes:

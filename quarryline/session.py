@@ -30,10 +30,13 @@ _own_folder: list[str] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that ``spark.checkpoint.dir`` names; a folder of our own only where it is unset, as in tests."""
+    """The folder that ``spark.checkpoint.dir`` names; a folder of our own only where it is unset in a local session, as in
+    tests: on a cluster executors couldn't share it."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named:
         return named
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if not _own_folder:
         _own_folder.append(tempfile.mkdtemp(prefix="spark-"))
     return _own_folder[0]
