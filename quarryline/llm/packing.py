@@ -141,10 +141,11 @@ def placements(sizes: DataFrame) -> DataFrame:
             own = own & (F.col("value") > F.col("capacity") / 2 ** (octave + 1))
         units = sizes.where(own).select(F.lit("unit").alias("what"), "kind", "capacity", "value", F.lit(None).cast("string").alias("run"), F.lit(0).cast("long").alias("at"), "n", F.lit(None).cast("long").alias("start"))
         state = state.unionByName(units)
-        openings = 0
+        openings, again = 0, False
         waiting, fits = _standing(state)
         while waiting:
             state = state.repartition(kinds, "kind")  # the one shuffle of a sweep
+            again = fits and not again  # every other sweep goes on unseen: one that places nothing changes nothing
             if fits:
                 made = _swept(state)
             else:
@@ -153,7 +154,8 @@ def placements(sizes: DataFrame) -> DataFrame:
                 openings += 1
             made, parts = cut(made, f"{folder}/{parts:04d}"), parts + 1
             state = made.where("what <> 'placed'")
-            waiting, fits = _standing(state)
+            if not again:
+                waiting, fits = _standing(state)
     every = spark.read.schema(_RUNS).parquet(f"{folder}/*") if parts else spark.createDataFrame([], _RUNS)  # one scan
     return every.where("what = 'placed'").select("kind", "value", "at", "n", "run", "start")
 
