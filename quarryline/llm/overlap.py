@@ -4,9 +4,9 @@ A question is reduced to the thing it names and the words it says about it; spel
 frequent words. What may name a thing written as plain words is learnt from the corpus: words that mostly stand inside code
 identifiers. Both parts make one 128-bit similarity hash in which the name weighs most. Equal questions collapse into classes
 first, so copies are never paired with each other. Codes of classes are cut into ``SEGMENTS`` blocks; classes of different
-splits that share a block are joined and kept within ``RADIUS`` bits, then their texts are compared. A block that very many
-classes share is split further by the words of the questions, which loses no pair. Members are expanded only for classes
-that match.
+splits whose blocks are equal, or one bit apart, in one place are joined and kept within ``RADIUS`` bits, then their texts are
+compared: no pair within the radius is missed. A block that very many classes share is split further by the words of the
+questions, which loses no match. Members are expanded only for classes that match.
 """
 
 from __future__ import annotations
@@ -26,6 +26,7 @@ from quarryline.session import cut, first_delivery
 
 TRAIN, EVALUATION = ("train",), ("validation", "test")
 SEGMENTS, BITS, RADIUS = 8, 16, 14
+LENIENT = RADIUS + 1 - SEGMENTS  # blocks that may differ in one bit
 NAME_WEIGHT = 8.0
 LEAST = 0.6  # of the words of the shorter question must stand in the other
 HOT = 1 << 20  # comparisons in one block beyond which its pairs must share a word too
@@ -253,38 +254,70 @@ def _worded(rows: DataFrame, order: DataFrame, every: bool) -> DataFrame:
     return ranked.where(F.col("_r") <= F.col("_n") - F.ceil(F.lit(LEAST) * F.col("_n")) + 1).drop("n", "_r", "_n")
 
 
+def _probes(rows: DataFrame) -> DataFrame:
+    """``rows`` with a row per value of their block that lies within the block's allowance: the block itself, and in the first
+    ``LENIENT`` blocks each value that is one bit away."""
+    masks = F.when(F.col("at") < LENIENT, F.array(F.lit(0), *[F.lit(1 << i) for i in range(BITS)])).otherwise(F.array(F.lit(0)))
+    return rows.withColumn("_mask", F.explode(masks)).withColumn("segment", F.col("segment").bitwiseXOR(F.col("_mask"))).drop("_mask")
+
+
+def _first() -> Column:
+    """Whether no block before ``a.at`` lies within its allowance."""
+    first = F.lit(True)
+    for i in range(SEGMENTS - 1):
+        apart = F.bit_count(_segment("a.", i).bitwiseXOR(_segment("b.", i)))
+        first = first & ((F.col("a.at") <= i) | (apart > (1 if i < LENIENT else 0)))
+    return first
+
+
 def candidates(reps: DataFrame) -> DataFrame:
-    """``a, b``: ids of different classes, the one with training members, the other with evaluation members, that share a
-    block of their codes and lie within ``RADIUS`` bits.
+    """``a, b``: ids of different classes, the one with training members, the other with evaluation members, that lie within
+    ``RADIUS`` bits; all of them.
 
-    A pair comes from the first block it shares, so it is compared once. Where one block would take more than ``HOT``
+    If the blocks allow for 1 bit in ``LENIENT`` of them and for none in the others, codes that exceed every allowance are more
+    than ``RADIUS`` bits apart, so each pair has a block within its allowance. It comes from the first such block, so it is
+    compared once. Equal codes are compared once, whatever their classes. Where one block would take more than ``HOT``
     comparisons, its pairs must also share a word as any match does: of the words of the shorter question, all but
     ``1 - LEAST`` stand in the other, so one of its rarest does. Classes without words meet among themselves: a name alone
     makes one class.
     """
     parts = F.posexplode(F.array(*[_segment("", i) for i in range(SEGMENTS)])).alias("at", "segment")
-    rows = reps.select("class_id", "high", "low", "body", "has_train", "has_evaluation", parts)
-    sizes = rows.groupBy("at", "segment").agg(F.count_if("has_train").alias("t"), F.count_if("has_evaluation").alias("e")).where(F.col("t") * F.col("e") > HOT).select("at", "segment")
-    hot = cut(sizes)
-    a, b = rows.where("has_train"), rows.where("has_evaluation")
-    narrow = ["at", "segment", "class_id", "high", "low"]
-    first = F.lit(True)
-    for i in range(SEGMENTS - 1):
-        first = first & ((F.col("a.at") <= i) | (_segment("a.", i) != _segment("b.", i)))
-    different = (F.col("a.class_id") != F.col("b.class_id")) & (_distance() <= RADIUS)
+    codes = cut(reps.groupBy("high", "low").agg(F.max("has_train").alias("has_train"), F.max("has_evaluation").alias("has_evaluation")))
+    rows = codes.select("high", "low", "has_train", "has_evaluation", parts)
+    sizes = cut(rows.groupBy("at", "segment").agg(F.count_if("has_train").alias("t"), F.count_if("has_evaluation").alias("e")))
+    # values that few codes have add little to a block, so only the others are spread over their neighbours
+    near = _probes(sizes.where(F.col("e") * (BITS + 1) >= HOT**0.5).select("at", "segment", "e")).groupBy("at", "segment").agg(F.sum("e").alias("e"))
+    hot = cut(sizes.select("at", "segment", "t").join(near, ["at", "segment"]).where(F.col("t") * F.col("e") > HOT).select("at", "segment"))
+    within = (_distance() <= RADIUS) & _first()
+    train, evaluation = reps.where("has_train"), reps.where("has_evaluation")
+
+    def of_classes(pairs: DataFrame) -> DataFrame:
+        """The classes of pairs of codes."""
+        x, y = train.select(F.col("class_id").alias("a"), "high", "low"), evaluation.select(F.col("class_id").alias("b"), "high", "low")
+        both = pairs.join(x, [pairs["ah"] == x["high"], pairs["al"] == x["low"]]).select("a", "bh", "bl")
+        return both.join(y, [both["bh"] == y["high"], both["bl"] == y["low"]]).where("a <> b").select("a", "b")
+
+    narrow = ["at", "segment", "high", "low"]
+    a, b = rows.where("has_train").select(narrow), _probes(rows.where("has_evaluation").select(narrow))
+    some = not hot.isEmpty()
+    if some:
+        a, b = (x.join(hot, ["at", "segment"], "left_anti") for x in (a, b))
+    close = a.alias("a").join(b.alias("b"), ["at", "segment"]).where(within)
+    few = of_classes(close.select(F.col("a.high").alias("ah"), F.col("a.low").alias("al"), F.col("b.high").alias("bh"), F.col("b.low").alias("bl")))
+    if not some:
+        return few
+    wide = ["class_id", "high", "low", "body", parts]
+    hot_a, hot_b = (x.join(hot, ["at", "segment"], "left_semi") for x in (train.select(*wide), _probes(evaluation.select(*wide))))
+    different = (F.col("a.class_id") != F.col("b.class_id")) & within
     pair = [F.col("a.class_id").alias("a"), F.col("b.class_id").alias("b")]
-    if hot.isEmpty():
-        return a.select(narrow).alias("a").join(b.select(narrow).alias("b"), ["at", "segment"]).where(different & first).select(*pair)
-    few_a, few_b = (x.join(hot, ["at", "segment"], "left_anti").select(narrow) for x in (a, b))
-    found = [few_a.alias("a").join(few_b.alias("b"), ["at", "segment"]).where(different & first).select(*pair)]
-    hot_a, hot_b = (x.join(hot, ["at", "segment"], "left_semi") for x in (a, b))
+    found = few
     order = reps.select(F.explode("body").alias("word")).groupBy("word").agg(F.count("*").alias("n"))
     for every_a, every_b in ((True, False), (False, True)):
         x, y = _worded(hot_a, order, every_a).alias("a"), _worded(hot_b, order, every_b).alias("b")
-        found.append(x.join(y, ["at", "segment", "word"]).where(different & first).select(*pair))
+        found = found.unionByName(x.join(y, ["at", "segment", "word"]).where(different).select(*pair))
     for x, y in ((hot_a.where("size(body) = 0"), hot_b), (hot_a.where("size(body) > 0"), hot_b.where("size(body) = 0"))):  # a name alone: one class a name
-        found.append(x.alias("a").join(y.alias("b"), ["at", "segment"]).where(different & first).select(*pair))
-    return found[0].unionByName(found[1]).unionByName(found[2]).unionByName(found[3]).unionByName(found[4]).distinct()
+        found = found.unionByName(x.alias("a").join(y.alias("b"), ["at", "segment"]).where(different).select(*pair))
+    return found.distinct()
 
 
 def matching_classes(reps: DataFrame) -> DataFrame:

@@ -71,3 +71,24 @@ def test_empty_and_report(spark):
     df = records(spark, [("train", "Find `a_b_c` now."), ("test", "Find `a_b_c` now.")])
     assert O.pairs(df.limit(0)).count() == 0
     assert [(r.split, r.records, r.overlapping) for r in O.report(df.withColumn("class_id", O.F.lit("x"))).collect()] == [("test", 1, 1)]
+
+
+def test_no_pair_within_the_radius_is_missed(spark, monkeypatch):
+    rng = random.Random(3)
+    signed = lambda x: x - 2**64 if x >= 2**63 else x
+    rows = []
+    for i in range(120):
+        code = rng.getrandbits(128)
+        # every block differs, in as many bits as the radius allows; and one bit more
+        spread = [rng.sample(range(O.BITS), n) for n in rng.sample([1, 1, 2, 2, 2, 2, 2, 2 + i % 2], 8)]
+        other = code
+        for at, bits in enumerate(spread):
+            for bit in bits:
+                other ^= 1 << (at * O.BITS + bit)
+        for side, c in (("a", code), ("b", other)):
+            rows.append((f"{side}{i}", ["n"], ["w"] if i % 3 else [], signed(c >> 64), signed(c & (2**64 - 1)), side == "a", side == "b"))
+    reps = spark.createDataFrame(rows, "class_id string, name array<string>, body array<string>, high long, low long, has_train boolean, has_evaluation boolean")
+    wanted = sorted((f"a{i}", f"b{i}") for i in range(0, 120, 2))
+    assert sorted(map(tuple, O.candidates(reps).collect())) == wanted
+    monkeypatch.setattr(O, "HOT", 0)
+    assert sorted(map(tuple, O.candidates(reps).collect())) == wanted
