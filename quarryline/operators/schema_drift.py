@@ -28,6 +28,7 @@ ACCEPTED = 0.53  # with equal types and unlike names, contents that agree in mor
 SETTLED = 1e-6
 PARENT, TYPE, CONTENT = 0.15, 0.15, 0.7
 _JSON_TYPES = {bool: "boolean", int: "number", float: "number", str: "string", list: "array", dict: "object"}
+_DOT = "\u2024"  # stands for a dot inside a key, so that no key looks like a path
 _CELLS = "line_id long, series string, source_file string, draft string, item int, level string, depth int, parent string, field string, json_type string, value string"
 
 
@@ -37,18 +38,20 @@ def _below(value: dict, parent: str, depth: int) -> Iterator[tuple[int, str, str
     while stack:
         at, path, node = stack.pop()
         for key, x in node.items():
-            inner = f"{path}.{key}" if path else key
+            own = key.replace(".", _DOT)
+            inner = f"{path}.{own}" if path else own
             yield at, path, inner, x
             if isinstance(x, dict):
                 stack.append((at + 1, inner, x))
 
 
-def cells(lines: DataFrame) -> DataFrame:
+def cells(lines: DataFrame, whole: bool = False) -> DataFrame:
     """One row per readable line, nested item and field; ``item`` is -1 for the fields of the line itself, ``value`` is
     canonical JSON. Fields of objects that are values follow with a ``depth`` above 0.
 
     Lines that aren't one JSON object have no rows; re-delivered lines count once; null values keep their row (the field
-    is there) with a null type. Nesting may be of any depth.
+    is there) with a null type. Nesting may be of any depth. If ``whole``, rows of ``depth`` -1 follow for what has no field:
+    lines and items that are empty (without ``field``), and items that aren't objects (under the name of the list).
     """
     names = [c.split()[0] for c in _CELLS.split(", ")]
 
@@ -63,10 +66,15 @@ def cells(lines: DataFrame) -> DataFrame:
                 draft = draft if draft is None or isinstance(draft, str) else canonical(draft)
                 own = {k: v for k, v in obj.items() if k not in (IDENTITY, NESTED)}
                 rows.extend((line, series, file, draft, -1, "", d, p, f, _JSON_TYPES.get(type(v)), None if v is None else canonical(v)) for d, p, f, v in _below(own, "", 0))
+                if whole and not own:
+                    rows.append((line, series, file, draft, -1, "", -1, "", None, None, None))
                 below = obj.get(NESTED)
                 for i, x in enumerate(below if isinstance(below, list) else [below]):
                     if isinstance(x, dict):
                         rows.extend((line, series, file, draft, i, NESTED, d, p, f, _JSON_TYPES.get(type(v)), None if v is None else canonical(v)) for d, p, f, v in _below(x, NESTED, 0))
+                    if whole and x is not None and (x == {} or not isinstance(x, dict)):
+                        field, kind, value = (None, None, None) if x == {} else (NESTED, _JSON_TYPES.get(type(x)), canonical(x))
+                        rows.append((line, series, file, draft, i, NESTED, -1, NESTED, field, kind, value))
             yield pd.DataFrame(rows, columns=names)
 
     once = first_delivery(lines.select("line_id", "series", "source_file", "exported_at", "payload"), "line_id", ["exported_at"])
@@ -82,7 +90,7 @@ def steps(lines: DataFrame) -> DataFrame:
 
 
 def _similar_names(a: Column, b: Column) -> Column:
-    a, b = (F.regexp_replace(F.lower(F.element_at(F.split(x, "[.]"), -1)), "[^a-z0-9]", "") for x in (a, b))
+    a, b = (F.regexp_replace(F.lower(F.element_at(F.split(x, f"[.{_DOT}]"), -1)), "[^a-z0-9]", "") for x in (a, b))
     return F.lit(1.0) - F.levenshtein(a, b) / F.greatest(F.length(a), F.length(b), F.lit(1))
 
 
@@ -231,7 +239,8 @@ def changes(lines: DataFrame) -> DataFrame:
     Null file names or identities are left aside; a file without readable lines counts as a file without fields; empty
     input gives no rows.
     """
-    return _report(lines, cut(cells(lines)))
+    found = _report(lines, cut(cells(lines)))
+    return found.withColumns({c: F.translate(c, _DOT, ".") for c in ("field_path", "previous_path")})
 
 
 def _families(pairs: list, apart: set[frozenset], seen: dict[str, int]) -> dict[str, str]:
@@ -281,17 +290,16 @@ def _columns_of_series(rows: list[dict], family: dict[str, str]) -> list[tuple[s
     return out
 
 
-def columns(at: DataFrame, all_cells: DataFrame, report: DataFrame) -> DataFrame:
-    """``series, source_file, field, column``: no two fields of a file share a column. Names of fields go to the driver, never
-    rows; a series' fields are resolved in one task."""
-    counts = cut(all_cells.groupBy("series", "source_file", "level", "field").agg(F.count("*").alias("n")))
+def columns(at: DataFrame, all_cells: DataFrame, renamed: DataFrame) -> DataFrame:
+    """``series, source_file, field, column``, for ``renamed`` with series, source_file, old and new: no two fields of a file
+    share a column. Names of fields go to the driver, never rows; a series' fields are resolved in one task."""
+    counts = cut(all_cells.where("field is not null").groupBy("series", "source_file", "level", "field").agg(F.count("*").alias("n")))
     seen = {r["field"]: r["n"] for r in counts.groupBy("field").agg(F.sum("n").alias("n")).collect()}
-    renamed = report.where("change_kind = 'renamed'")
-    pairs = renamed.groupBy(F.col("field_path").alias("a"), F.col("previous_path").alias("b")).agg(F.count("*").alias("n")).collect()
+    pairs = renamed.groupBy(F.col("new").alias("a"), F.col("old").alias("b")).agg(F.count("*").alias("n")).collect()
     a, b = counts.select("series", "source_file", "level", F.col("field").alias("a")), counts.select("series", "source_file", "level", F.col("field").alias("b"))
     apart = {frozenset((r["a"], r["b"])) for r in a.join(b, ["series", "source_file", "level"]).where("a < b").select("a", "b").distinct().collect()}
     family = _families(pairs, apart, seen)
-    previous = renamed.select("series", "source_file", F.col("field_path").alias("field"), F.col("previous_path").alias("previous"))
+    previous = renamed.select("series", "source_file", F.col("new").alias("field"), F.col("old").alias("previous"))
     rows = counts.join(at.select("series", "source_file", "step"), ["series", "source_file"]).join(previous, ["series", "source_file", "field"], "left")
     gathered = rows.groupBy("series").agg(F.collect_list(F.struct("step", "source_file", "field", "previous", "n")).alias("rows"))
 
@@ -314,25 +322,44 @@ def _cast(value: Column, kind: Column, to: str) -> Column:
     return F.when(kind == "array", F.array_join(F.from_json(value, "array<string>"), ", ")).otherwise(plain)
 
 
+def _labels(paths: list[str], taken: list[str]) -> list[str]:
+    """A column name per path, other than ``taken`` and each other in any case of letters."""
+    used, out = {t.lower() for t in taken}, []
+    for path in paths:
+        plain = path.replace(".", "__").replace(_DOT, "__")
+        label, number = plain, 2
+        while label.lower() in used:
+            label, number = f"{plain}_{number}", number + 1
+        used.add(label.lower())
+        out.append(label)
+    return out
+
+
 def unified(lines: DataFrame) -> DataFrame:
     """All lines in one table: a row per line and nested item (-1 for the line itself), a column per consistent field.
 
-    A column has the JSON type of most of its values: double, boolean, array of texts, else text. A value that can't be cast is
-    null there and stands as JSON in ``uncast``, a map by column; lists joined with commas become text columns. Two fields of
-    one line never share a column, so no value is lost.
+    Fields inside of objects have columns of their own, and all columns follow the same correspondences as ``changes``. A
+    column has the JSON type of most of its values: double, boolean, array of texts, else text. A value that can't be cast is
+    null there and stands as JSON in ``uncast``, a map by path; lists joined with commas become text columns. Two fields of
+    one line never share a column, so no value is lost. Lines and items without fields keep their row, items that aren't
+    objects stand under the name of the list. Lines without a series or a file are left aside.
     """
-    all_cells = cut(cells(lines).where("depth = 0").drop("depth", "parent"))
-    return _united(lines, all_cells)
-
-
-def _united(lines: DataFrame, shallow: DataFrame) -> DataFrame:
-    report = cut(_report(lines, shallow.withColumn("depth", F.lit(0)).withColumn("parent", F.col("level"))))
-    at = steps(lines).select("series", "source_file", "step")
-    named = cut(shallow.join(columns(at, shallow, report), ["series", "source_file", "field"]))
+    return _united(lines, cut(cells(lines, whole=True)))
+
+
+def _united(lines: DataFrame, all_cells: DataFrame) -> DataFrame:
+    order = cut(steps(lines))
+    fields = all_cells.where("depth >= 0")
+    renamed = cut(renames(order, fields, cut(_analysis(order, fields))).select("series", "source_file", "old", "new").distinct())
+    leaves = all_cells.where("json_type is null or json_type <> 'object' or value = '{}'")  # an object is what its fields hold
+    at = order.select("series", "source_file", "step")
+    bare = leaves.where("field is null and series is not null and source_file is not null").withColumn("column", F.lit(None).cast("string"))
+    known = leaves.join(columns(at, leaves, renamed), ["series", "source_file", "field"])
+    named = cut(known.unionByName(bare))
     kinds: dict[str, Counter] = defaultdict(Counter)
     for r in named.where("json_type is not null").groupBy("column", "json_type").agg(F.count("*").alias("n")).collect():  # names times types
         kinds[r["column"]][r["json_type"]] = r["n"]
-    every = sorted(r["column"] for r in named.select("column").distinct().collect())
+    every = sorted(r["column"] for r in named.where("column is not null").select("column").distinct().collect())
     target = {c: max(sorted(kinds[c]), key=lambda t: kinds[c][t]) if kinds[c] else "string" for c in every}
     target = {c: "string" if t == "object" else t for c, t in target.items()}
     cell = F.struct(F.col("value").alias("value"), F.col("json_type").alias("kind"))
@@ -342,4 +369,5 @@ def _united(lines: DataFrame, shallow: DataFrame) -> DataFrame:
     made = [_cast(F.col(f"_{i}.value"), F.col(f"_{i}.kind"), target[c]) for i, c in enumerate(every)]
     failed = [F.when(F.col(f"_{i}.value").isNotNull() & m.isNull(), F.struct(F.lit(c).alias("key"), F.col(f"_{i}.value").alias("value"))) for i, (c, m) in enumerate(zip(every, made))]
     uncast = F.map_from_entries(F.array_compact(F.array(*failed))) if failed else F.create_map().cast("map<string,string>")
-    return held.select("line_id", "series", "source_file", IDENTITY, "item", *[m.alias(c.replace(".", "__")) for c, m in zip(every, made)], uncast.alias("uncast"))
+    fixed = ["line_id", "series", "source_file", IDENTITY, "item"]
+    return held.select(*fixed, *[m.alias(c) for c, m in zip(_labels(every, [*fixed, "uncast"]), made)], uncast.alias("uncast"))

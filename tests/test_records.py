@@ -133,6 +133,23 @@ def test_table_keeps_every_value(spark):
     assert rows[9, -1].uncast == {"b": '"many"'}
 
 
+def test_table_follows_renames_inside_objects_and_keeps_every_line(spark):
+    old = [{"query_id": f"q{i}", "meta": {"owner": f"o{i}", "place": f"p{i}", "rev": i}, "keep": i} for i in range(5)]
+    new = [{"query_id": f"q{i}", "origin": {"owner": f"o{i}", "place": f"p{i}", "rev": i + 1}, "keep": i} for i in range(5)]
+    odd = [{"query_id": "q7", "primary_candidates": [{}, "lone", None]}, {}, {"a.b": 1, "a": {"b": 2}, "Item": 3, "uncast": 4, "none": {}}]
+    df = lines(spark, [("s", "1", 1, old), ("s", "2", 2, new), ("t", "3", 1, odd)])
+    assert ("renamed", "origin", "meta") in {(r.change_kind, r.field_path, r.previous_path) for r in schema_drift.changes(df).collect()}
+    table = schema_drift.unified(df)
+    assert len({c.lower() for c in table.columns}) == len(table.columns)
+    rows = {(r.line_id, r["item"]): r.asDict() for r in table.collect()}
+    for name in ("owner", "place"):
+        column = [c for c in table.columns if c.endswith(f"__{name}")]
+        assert len(column) == 1 and all(r[column[0]] is not None for k, r in rows.items() if k[0] <= 10)
+    assert set(rows) == {*((i, -1) for i in range(1, 14)), (11, 0), (11, 1)}
+    assert rows[11, 1]["primary_candidates"] == "lone" and rows[11, -1]["query_id"] == "q7"
+    assert sorted(map(str, (v for k, v in rows[13, -1].items() if k not in ("line_id", "series", "source_file", "query_id", "item", "uncast") and v is not None))) == ["1.0", "2.0", "3.0", "4.0", "{}"]
+
+
 def test_drift_empty(spark):
     df = lines(spark, [("s", "z.jsonl", 1, ["x"])])
     assert schema_drift.changes(df).count() == 0
