@@ -29,10 +29,12 @@ GRID = (-1.0, -0.5, 0.0, 0.5, 1.0)  # thresholds tried
 WORD_SHARE = 4e-5  # of all words; a word below it forms no n-gram, so at most 1 / WORD_SHARE words do
 FALLBACK = "software"
 LEAST_SENTENCES = 2
+RARE, BREAK = -1, -2
 
 _TAG = re.compile(r"<[^<>]{1,80}>")
 _SENTENCE = re.compile(r"(?<=[.!?…])\s+|[\r\n]+")
 _WORD = re.compile(r"[^\W_]+")
+_PIECE = re.compile(f"{_WORD.pattern}|{_SENTENCE.pattern}")  # words, and what parts sentences
 _HUMP = re.compile(r"(?<=[a-zß-ÿ0-9])(?=[A-ZÀ-Þ])")
 _MARKS = re.compile("[̀-ͯ]")
 
@@ -61,14 +63,14 @@ def _plain(word: str) -> str:
     return _word_memo[word]
 
 
+def _tidy(text: str) -> str:
+    text = _repaired(text)
+    return _TAG.sub(" ", text) if "<" in text else text
+
+
 def _sentence_words(text: str | None) -> Iterator[list[str]]:
     """The words of each sentence as they are written."""
-    if not text:
-        return
-    text = _repaired(text)
-    if "<" in text:
-        text = _TAG.sub(" ", text)
-    for sentence in _SENTENCE.split(text):
+    for sentence in _SENTENCE.split(_tidy(text or "")):
         words = _WORD.findall(sentence)
         if words:
             yield words
@@ -85,16 +87,21 @@ def _index(gram: str) -> int:
 
 
 class Vocabulary(dict):
-    """From a word as it is written to the numbers of its parts among the sample's frequent words; rare words are mended to
-    a frequent one or have no number, so they take part in no n-gram."""
+    """From a word as it is written to its number among the corpus's frequent words; rare words are mended to a frequent one or
+    are ``RARE``, so they take part in no n-gram. What parts sentences is ``BREAK``; a word of several parts is ``BREAK - 1``
+    less the place of their numbers in ``several``."""
 
     def __init__(self, frequent: dict[str, int]):
         self.speller, self.words = Speller(frequent), sorted(frequent)
         self.numbers = {w: i for i, w in enumerate(self.words)}
-
-    def __missing__(self, raw: str) -> tuple[int, ...]:
-        parts = [self.speller.mend(_plain(p)) for p in _HUMP.split(raw)]
-        found = tuple(self.numbers.get(p, -1) for p in parts)
+        self.several: dict[tuple[int, ...], int] = {}
+
+    def __missing__(self, raw: str) -> int:
+        if raw.isspace():
+            found = BREAK
+        else:
+            parts = tuple(self.numbers.get(self.speller.mend(_plain(p)), RARE) for p in _HUMP.split(raw))
+            found = parts[0] if len(parts) == 1 else BREAK - 1 - self.several.setdefault(parts, len(self.several))
         if len(self) < 500_000:
             self[raw] = found
         return found
@@ -102,15 +109,25 @@ class Vocabulary(dict):
 
 def _numbered(texts, vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(text of each sentence, where it starts among the words, numbers of all words); empty sentences are left out."""
-    owner, lengths, numbers, get = [], [], [], vocabulary.__getitem__
-    for at, text in enumerate(texts):
-        for words in _sentence_words(text):
-            before = len(numbers)
-            numbers.extend(chain.from_iterable(map(get, words)))
-            owner.append(at)
-            lengths.append(len(numbers) - before)
-    lengths_ = np.array(lengths, int)
-    return np.array(owner, int), np.cumsum(lengths_) - lengths_, np.array(numbers, int)
+    codes, ends, get = [], [], vocabulary.__getitem__
+    for text in texts:
+        if text:
+            codes.extend(map(get, _PIECE.findall(_tidy(text))))
+        ends.append(len(codes))
+    numbers, owner = np.array(codes, int), np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0))
+    joint = numbers < BREAK
+    if joint.any():
+        every = list(vocabulary.several)
+        parts = [every[BREAK - 1 - c] for c in numbers[joint].tolist()]
+        lengths = np.ones(len(numbers), int)
+        lengths[joint] = [len(p) for p in parts]
+        numbers, owner = np.repeat(numbers, lengths), np.repeat(owner, lengths)
+        numbers[np.repeat(joint, lengths)] = list(chain.from_iterable(parts))
+    words = numbers != BREAK
+    sentence = np.cumsum(~words)[words]
+    numbers, owner = numbers[words], owner[words]
+    starts = np.flatnonzero((np.diff(sentence, prepend=-1) != 0) | (np.diff(owner, prepend=-1) != 0))
+    return owner[starts], starts, numbers
 
 
 def _gram_columns(starts: np.ndarray, numbers: np.ndarray, vocabulary: Vocabulary, memo: dict) -> tuple[np.ndarray, np.ndarray]:

@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+
 from quarryline.llm import subjects as S
 
 TERMS = {"law": "court verdict statute bailiff notary tribunal clause".split(), "music": "violin chord tempo melody sonata octave choir".split(), "sport": "referee goalkeeper striker podium sprint coach marathon".split()}
@@ -48,3 +50,12 @@ def test_held_out_accuracy(spark):
 def test_words():
     assert list(S.sentences("Call `mergeSeminar()` now. Größe der Flüsse!\n<b>FlÃ¼sse</b>")) == [["call", "merge", "seminar", "now"], ["grosse", "der", "flusse"], ["flusse"]]
     assert list(S.sentences(None)) == [] and list(S.sentences(" \n ")) == []
+
+
+def test_numbers_of_all_words_in_one_pass():
+    texts = ["One fooBar two.  Three…\n\n four_five?! <b>six</b> : ", None, "", "...\r\n\t", "x.y  z\n \nQ! ", "fooBar\nBAZqux one", "tail. ", "étés 12 fooBar. bar"]
+    vocabulary = S.Vocabulary({w: 9 for w in ("one", "foo", "bar", "two", "four", "x", "z", "qux", "ete", "12")})
+    owner, starts, numbers = S._numbered(texts, vocabulary)
+    wanted = [(i, [vocabulary.numbers.get(vocabulary.speller.mend(w), S.RARE) for w in words]) for i, t in enumerate(texts) for words in S.sentences(t)]
+    assert [(i, n.tolist()) for i, n in zip(owner.tolist(), np.split(numbers, starts[1:]))] == wanted
+    assert all(len(x) == 0 for x in S._numbered([None, "", "\n"], vocabulary))
