@@ -13,7 +13,7 @@ open as few containers as could do, and the sweeps go on; what then still waits
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarryline.llm.sizes import sized
@@ -58,7 +58,7 @@ after AS (
     CASE WHEN what = 'gap' THEN run WHEN before.what = 'gap' THEN before.run END AS run,
     at, length AS n, if(what = 'unit' AND before.what = 'gap', before.at, NULL) AS start FROM beside),
 marked AS (
-  SELECT *, if(lag(at + n) OVER own = at AND lag(at - coalesce(start, 0L)) OVER own = at - coalesce(start, 0L), 0, 1) AS fresh
+  SELECT *, if(lag(at + n) OVER own = at AND lag(coalesce(at - start, 0L)) OVER own = coalesce(at - start, 0L), 0, 1) AS fresh
   FROM after WHERE value > 0 WINDOW own AS (PARTITION BY kind, what, value, run ORDER BY at, start)),
 islands AS (
   SELECT *, sum(fresh) OVER (PARTITION BY kind, what, value, run ORDER BY at, start ROWS UNBOUNDED PRECEDING) AS island FROM marked)
@@ -120,42 +120,56 @@ def _reopened(runs: DataFrame, step: str) -> DataFrame:
     return made.unionByName(runs.where("what = 'gap'"))
 
 
-def _standing(state: DataFrame) -> tuple[bool, bool]:
-    """Whether units wait, and whether one of them fits an open gap. One row per kind goes to the driver."""
-    unit, gap = F.col("what") == "unit", F.col("what") == "gap"
-    kinds = state.coalesce(1).groupBy("kind").agg(F.min(F.when(unit, F.col("value"))).alias("least"), F.max(F.when(gap, F.col("value"))).alias("most")).collect()
-    return any(r.least is not None for r in kinds), any(r.least is not None and r.most is not None and r.least <= r.most for r in kinds)
+def _standing(kinds: list[str]) -> list[Column]:
+    """Per kind, the least unit that waits and the largest open gap, as aggregates."""
+    ends = ((F.min, "unit", "least"), (F.max, "gap", "most"))
+    return [f(F.when((F.col("kind") == k) & (F.col("what") == what), F.col("value"))).alias(f"{name}_{i}") for i, k in enumerate(kinds) for f, what, name in ends]
+
+
+def _judged(found: dict) -> tuple[bool, bool]:
+    """Whether units wait, and whether one of them fits an open gap."""
+    least = {k.removeprefix("least_"): v for k, v in found.items() if k.startswith("least_") and v is not None}
+    return bool(least), any((found[f"most_{i}"] or 0) >= v for i, v in least.items())
+
+
+def _plain(spark: SparkSession, kinds: int) -> SparkSession:
+    """A session of its own for the sweeps. Their plans are small, alike and many, so planning them anew while they run would
+    cost the driver more than the sweeps."""
+    own = spark.newSession()
+    for name, value in {"spark.sql.adaptive.enabled": "false", "spark.sql.shuffle.partitions": str(kinds), "spark.sql.ui.explainMode": "simple"}.items():
+        own.conf.set(name, value)
+    return own
 
 
 def placements(sizes: DataFrame) -> DataFrame:
     """``kind, value, at, n, run, start``: the units of a size with ranks from ``at`` go, one each, into the ``n`` containers
     of ``run`` from number ``start``. ``sizes`` has ``kind, capacity, value, n``, one row a size."""
-    spark = sizes.sparkSession
-    kinds = max(1, sizes.select("kind").distinct().count())
-    state = spark.createDataFrame([], _RUNS)
+    spark, at = sizes.sparkSession, new_folder(sizes.sparkSession)
+    kinds = sorted(r["kind"] for r in cut(sizes, at).select("kind").distinct().collect())
+    own = _plain(spark, max(1, len(kinds)))
+    sizes, state = own.read.schema(sizes.schema).parquet(at), own.createDataFrame([], _RUNS)
     folder, parts = new_folder(spark), 0
-    for octave in range(OCTAVES):
+    for octave in range(OCTAVES if kinds else 0):
         last = octave == OCTAVES - 1
-        own = F.col("value") <= F.col("capacity") / 2**octave
+        sized_so = F.col("value") <= F.col("capacity") / 2**octave
         if not last:
-            own = own & (F.col("value") > F.col("capacity") / 2 ** (octave + 1))
-        units = sizes.where(own).select(F.lit("unit").alias("what"), "kind", "capacity", "value", F.lit(None).cast("string").alias("run"), F.lit(0).cast("long").alias("at"), "n", F.lit(None).cast("long").alias("start"))
+            sized_so = sized_so & (F.col("value") > F.col("capacity") / 2 ** (octave + 1))
+        units = sizes.where(sized_so).select(F.lit("unit").alias("what"), "kind", "capacity", "value", F.lit(None).cast("string").alias("run"), F.lit(0).cast("long").alias("at"), "n", F.lit(None).cast("long").alias("start"))
         state = state.unionByName(units)
-        openings, again = 0, False
-        waiting, fits = _standing(state)
+        openings = 0
+        waiting, fits = _judged(state.coalesce(1).agg(*_standing(kinds)).first().asDict())
         while waiting:
-            state = state.repartition(kinds, "kind")  # the one shuffle of a sweep
-            again = fits and not again  # every other sweep goes on unseen: one that places nothing changes nothing
+            state = state.repartition(len(kinds), "kind")  # the one shuffle of a sweep
             if fits:
                 made = _swept(state)
             else:
                 step = f"{octave}.{openings}"
                 made = _reopened(state, step) if openings else _opened(state, step, None if last else 2 ** (octave + 1) - 1)
                 openings += 1
-            made, parts = cut(made, f"{folder}/{parts:04d}"), parts + 1
+            seen = Observation()  # what stands after a sweep is seen while it is written
+            made, parts = cut(made.observe(seen, *_standing(kinds)), f"{folder}/{parts:04d}"), parts + 1
             state = made.where("what <> 'placed'")
-            if not again:
-                waiting, fits = _standing(state)
+            waiting, fits = _judged(seen.get)
     every = spark.read.schema(_RUNS).parquet(f"{folder}/*") if parts else spark.createDataFrame([], _RUNS)  # one scan
     return every.where("what = 'placed'").select("kind", "value", "at", "n", "run", "start")
 
@@ -165,7 +179,7 @@ def fitted(units: DataFrame) -> DataFrame:
 
     Units are ranked within their size by hash buckets, so a size that most of them share is spread over all tasks.
     """
-    placed = cut(placements(cut(units.groupBy("kind", "capacity", "value").agg(F.count("*").alias("n")))))
+    placed = cut(placements(units.groupBy("kind", "capacity", "value").agg(F.count("*").alias("n"))))
     ranked = running_start(units.select("kind", "id", "value"), ["kind", "value"], F.pmod(F.xxhash64("id"), F.lit(BUCKETS)), [F.col("id")], F.lit(1), BUCKETS)
     rank = F.col("r.start")
     both = ranked.alias("r").join(placed.alias("p"), (F.col("r.kind") == F.col("p.kind")) & (F.col("r.value") == F.col("p.value")) & (rank >= F.col("p.at")) & (rank < F.col("p.at") + F.col("p.n")))

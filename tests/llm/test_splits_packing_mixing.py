@@ -155,3 +155,21 @@ def test_mixing_respects_repeats_and_prefix(spark):
     small = mixing.mixed(df, targets, total=100).agg(F.sum(F.col("tokens") * F.col("copies"))).first()[0]
     assert 40 <= small <= 100
     assert mixing.mixed(df.limit(0), targets).count() == 0
+
+
+def test_sweeps_join_runs_and_run_one_job_each(spark):
+    rows = [("unit", "k", 10, 6, None, 0, 5, None), ("gap", "k", 10, 4, "r", 0, 9, None), ("gap", "k", 10, 2, "q", 0, 3, None), ("unit", "k", 10, 3, None, 0, 2, None)]
+    got = {tuple(r) for r in packing._swept(spark.createDataFrame(rows, packing._RUNS)).collect()}
+    # units and gaps that nothing met stay in one piece
+    assert got == {("unit", "k", 10, 6, None, 0, 5, None), ("gap", "k", 10, 4, "r", 0, 7, None), ("gap", "k", 10, 1, "r", 7, 2, None), ("placed", "k", 10, 3, "r", 0, 2, 7), ("gap", "k", 10, 2, "q", 0, 3, None)}
+    sizes = spark.createDataFrame([("k", 100, v, 7) for v in range(3, 70, 4)], "kind string, capacity int, value int, n long")
+    asked = []
+    plain, swept = packing._plain, packing._swept
+    packing._plain = lambda *a: asked.append(plain(*a)) or asked[0]
+    packing._swept = lambda runs: swept(runs) if runs.sparkSession is asked[0] else None
+    try:
+        placed = packing.placements(sizes).collect()
+    finally:
+        packing._plain, packing._swept = plain, swept
+    assert sum(r.n for r in placed) == 17 * 7 and asked[0].conf.get("spark.sql.adaptive.enabled") == "false"
+    assert spark.conf.get("spark.sql.adaptive.enabled") == "true"
